@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,7 +116,7 @@ def lower_ascii(raw: np.ndarray) -> np.ndarray:
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
     """The batch in slices of about `limit` bytes of text each (a longer text stands alone), to bound memory."""
-    sizes = np.nan_to_num(np.asarray(pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), float))
+    sizes = np.nan_to_num(np.asarray(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), float))
     start, held = 0, 0.0
     for i, n in enumerate(sizes):
         if i > start and held + n > limit:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardflow.llm import decontaminate, line_dedup, mixing, quality_rules
+from wardflow.llm import decontaminate, line_dedup, mixing, quality_rules, token_ids
 from wardflow.llm._util import Workspace
 
 
@@ -13,6 +13,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.read_ids(token_ids.write_ids(_table(spark, sf_dir, "documents"), tokenizer_file(), Workspace(spark)))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -31,7 +41,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op5_decontaminate, op6_quality_rules, op9_line_dedup, op10_mixing]
+    own = [op1_token_ids, op5_decontaminate, op6_quality_rules, op9_line_dedup, op10_mixing]
     return {f.__name__: f for f in own}
 
 
