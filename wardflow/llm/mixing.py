@@ -150,7 +150,7 @@ def mix(docs: DataFrame, space: Workspace, seed: int = SEED) -> tuple[DataFrame,
     rows = sized(docs, space)
     targets = space.save(source_targets(rows.groupBy("source_key").agg(F.sum("size").alias("source_size"))), "targets")
     placed = offsets(rows).join(targets.select("source_key", "source_id"), "source_key")
-    return rows, targets, block_pieces(placed).join(slot_table(targets, seed), ["source_id", "block"])
+    return rows, targets, block_pieces(placed).join(slot_table(targets, seed).hint("merge"), ["source_id", "block"])
 
 
 def mix_summary(docs: DataFrame, space: Workspace) -> DataFrame:
@@ -170,7 +170,8 @@ def mixed_documents(docs: DataFrame, space: Workspace) -> DataFrame:
     rows = space.save(keyed.select("row_key", "doc_id", "source", F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source")).alias("source_key"), F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), n_words(F.col("text"))), F.lit(buckets(docs.sparkSession))).cast("int").alias("bucket"), n_words(F.col("text")).alias("size")), "sized")
     targets = space.save(source_targets(rows.groupBy("source_key").agg(F.sum("size").alias("source_size"))), "targets")
     placed = offsets(rows).join(targets.select("source_key", "source_id"), "source_key")
-    mixed = block_pieces(placed).join(slot_table(targets), ["source_id", "block"])
+    # the planner takes a table made in Python for as small as what it was made from, and would broadcast the slots
+    mixed = block_pieces(placed).join(slot_table(targets).hint("merge"), ["source_id", "block"])
     spans = mixed.groupBy("row_key", "epoch").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("spans"), F.sum("n").alias("taken"))
     whole = keyed.join(rows.select("row_key", "size"), "row_key").join(spans, "row_key")
     return whole.select(
