@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardflow.llm import decontaminate, line_dedup, mixing, quality_rules, simhash, token_ids
+from wardflow.llm import decontaminate, line_dedup, mixing, quality_rules, simhash, substring_dedup, token_ids
 from wardflow.llm._util import Workspace
 
 
@@ -28,6 +28,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), Workspace(spark))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -46,7 +51,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_token_ids, op3_simhash, op5_decontaminate, op6_quality_rules, op9_line_dedup, op10_mixing]
+    own = [op1_token_ids, op3_simhash, op4_substring_dedup, op5_decontaminate, op6_quality_rules, op9_line_dedup, op10_mixing]
     return {f.__name__: f for f in own}
 
 
