@@ -23,68 +23,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from wardflow.llm._util import Workspace, buckets, gather, mix64, pieces, text_bytes, word_spans
+from wardflow.llm._chunks import CHUNK_TEXT, Words, answered, bits, bucket_count, rows, runs, scaled, to_chunks
+from wardflow.llm._util import Workspace, mix64
 
 WINDOW = 13
 ANCHOR = 7
 COVER = (1, 2, 4)
-CHUNK_TEXT = 8 << 20
-#: Bytes of answer bits up to which they are broadcast to the chunks; beyond it the join shuffles.
-BROADCAST_BYTES = 64 << 20
-#: Words for each bucket at most, so that a bucket's task stays small.
-BUCKET_WORDS = 8_000_000
-_LAST = np.iinfo(np.int64).max
-
-CHUNK_SCHEMA = "chunk long, doc_ids array<bigint>, counts array<int>, codes binary, vocabulary binary, n_words long"
-
-
-def to_chunks(docs: DataFrame, chunk_text: int = CHUNK_TEXT) -> DataFrame:
-    """The documents as rows of word codes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for piece in pieces(batch, "text", chunk_text):
-                raw, off = text_bytes(piece.column("text"))
-                starts, ends, before = word_spans(raw, off)
-                coded = gather(raw, starts, ends).dictionary_encode()
-                offsets, data = (np.frombuffer(b, t) for b, t in zip(coded.dictionary.buffers()[1:], (np.int64, np.uint8), strict=True)) if len(starts) else (np.zeros(1, np.int64), np.zeros(0, np.uint8))
-                spaced = np.insert(data[: offsets[len(coded.dictionary)]], offsets[1 : len(coded.dictionary) + 1], 32)
-                codes = np.asarray(coded.indices, np.int32)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "chunk": pa.array([part << 32 | seq], pa.int64()),
-                        "doc_ids": pa.array([piece.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                        "counts": pa.array([np.diff(before)], pa.list_(pa.int32())),
-                        "codes": pa.array([pa.compress(codes.tobytes(), "zstd", asbytes=True)], pa.binary()),
-                        "vocabulary": pa.array([pa.compress(spaced.tobytes(), "zstd", asbytes=True)], pa.binary()),
-                        "n_words": pa.array([len(codes)], pa.int64()),
-                    }
-                )
-                seq += 1
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, CHUNK_SCHEMA)
-
-
-class Chunk:
+
+
+class Chunk(Words):
     """A chunk's words, and hashes of its windows."""
 
     def __init__(self, row: dict):
+        super().__init__(row)
         n = row["n_words"]
-        self.doc_ids = np.array([_LAST if x is None else x for x in row["doc_ids"]], np.int64)
-        self.null = [x is None for x in row["doc_ids"]]
-        self.counts = np.array(row["counts"], np.int64)
-        self.ends = np.cumsum(self.counts)
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
-        self.codes = np.frombuffer(_unpacked(row["codes"]), np.int32) if n else np.zeros(0, np.int32)
-        self.vocabulary = _unpacked(row["vocabulary"]).split()
-        digest = xxhash.xxh64_intdigest
-        self.hashes = np.fromiter((digest(w) for w in self.vocabulary), np.uint64, len(self.vocabulary))[self.codes]
+        self.hashes = self.word_hash[self.codes]
         self.place = np.arange(n) - np.repeat(self.ends - self.counts, self.counts)
         self.left = np.repeat(self.ends, self.counts) - np.arange(n)  # words from here to the document's end
 
@@ -99,7 +55,7 @@ class Chunk:
         """Anchor positions and keys: bucket in the upper half, 32 bits of hash in the lower."""
         at = np.flatnonzero(np.isin(self.place % ANCHOR, COVER) & (self.left >= ANCHOR))
         h = self.window_hash(at, ANCHOR, 1)
-        return at, (((h >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+        return at, (scaled(h, n_buckets) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
 
     def candidates(self, shared_at: np.ndarray) -> np.ndarray:
         """Windows that hold a shared anchor."""
@@ -111,7 +67,7 @@ class Chunk:
     def windows(self, at: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct windows in bucket order: bucket, hash, least doc_id here; and each window's place among them."""
         h = self.window_hash(at, WINDOW, 2)
-        bucket = ((self.window_hash(at, WINDOW, 3) >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
+        bucket = scaled(self.window_hash(at, WINDOW, 3), n_buckets)
         order = np.lexsort((h, bucket))
         h, bucket = h[order], bucket[order]
         new = np.r_[True, (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])] if len(h) else np.zeros(0, bool)
@@ -122,21 +78,6 @@ class Chunk:
         return bucket[first].astype(np.int64), h[first], least, place
 
 
-def _unpacked(data: bytes) -> bytes:
-    return pa.CompressedInputStream(pa.BufferReader(data), "zstd").read() if data else b""
-
-
-def _runs(sorted_ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(id, from, to) of the runs of equal ids."""
-    edge = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1], True]) if len(sorted_ids) else np.zeros(1, int)
-    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        yield int(sorted_ids[a]), a, b
-
-
-def _bits(flags: np.ndarray) -> bytes:
-    return np.packbits(flags).tobytes()
-
-
 def _anchor_sets(chunk: Chunk, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchor positions; distinct keys in order; for each whether two documents here hold it; each anchor's place."""
     at, key = chunk.anchors(n_buckets)
@@ -161,8 +102,8 @@ def _shared(table: pa.Table) -> pa.Table:
     flags[order] = np.r_[False, same] | np.r_[same, False]
     sizes = [len(p) for p in parts]
     flags |= np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table["multi"].to_pylist(), sizes, strict=True)]).astype(bool)
-    bits = [_bits(x) for x in np.split(flags, np.cumsum(sizes)[:-1])]
-    return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "bits": pa.array(bits, pa.binary())})
+    packed = [bits(x) for x in np.split(flags, np.cumsum(sizes)[:-1])]
+    return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "bits": pa.array(packed, pa.binary())})
 
 
 def _earlier(table: pa.Table) -> pa.Table:
@@ -175,44 +116,30 @@ def _earlier(table: pa.Table) -> pa.Table:
     first = np.minimum.reduceat(least[order], np.flatnonzero(new))
     flags = np.zeros(len(keys), bool)
     flags[order] = first[np.cumsum(new) - 1] < least[order]
-    bits = [_bits(x) for x in np.split(flags, np.cumsum([len(p) for p in parts])[:-1])]
-    return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "bits": pa.array(bits, pa.binary())})
+    packed = [bits(x) for x in np.split(flags, np.cumsum([len(p) for p in parts])[:-1])]
+    return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "bits": pa.array(packed, pa.binary())})
 
 
 def _flags(answers: list[dict], bucket_of: np.ndarray) -> np.ndarray:
     """The answer bits in the order of the chunk's keys."""
     got = {a["bucket"]: a["bits"] for a in answers or ()}
     out = np.zeros(len(bucket_of), bool)
-    for b, lo, hi in _runs(bucket_of):
+    for b, lo, hi in runs(bucket_of):
         out[lo:hi] = np.unpackbits(np.frombuffer(got[b], np.uint8), count=hi - lo)
     return out
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
-
-
-def _answered(chunks: DataFrame, answers: DataFrame, name: str) -> DataFrame:
-    """The chunks with their answers as an array column."""
-    size = answers.agg(F.sum(F.length("bits") + 64)).first()[0] or 0
-    by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
-    return chunks.join(F.broadcast(by_chunk) if size <= BROADCAST_BYTES else by_chunk.hint("merge"), "chunk", "left")
-
-
 def remove_repeats(docs: DataFrame, space: Workspace, chunk_text: int = CHUNK_TEXT) -> DataFrame:
     """doc_id, n_words, n_removed, text (kept words joined by one blank), one row per document."""
     chunks = space.save(to_chunks(docs, chunk_text), "chunks")
-    total = chunks.agg(F.sum("n_words")).first()[0] or 0
-    n = 4 * max(buckets(docs.sparkSession), -(-total // (4 * BUCKET_WORDS)))
+    n = bucket_count(chunks)
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in rows(batches):
             _, key, multi, _ = _anchor_sets(Chunk(row), n)
             low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            runs = list(_runs((key >> np.uint64(32)).astype(np.int64)))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _, _ in runs], pa.int64()), "chunk": pa.array([row["chunk"]] * len(runs), pa.int64()), "keys": pa.array([low[i:j].tobytes() for _, i, j in runs], pa.binary()), "multi": pa.array([_bits(multi[i:j]) for _, i, j in runs], pa.binary())})
+            held = list(runs((key >> np.uint64(32)).astype(np.int64)))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _, _ in held], pa.int64()), "chunk": pa.array([row["chunk"]] * len(held), pa.int64()), "keys": pa.array([low[i:j].tobytes() for _, i, j in held], pa.binary()), "multi": pa.array([bits(multi[i:j]) for _, i, j in held], pa.binary())})
 
     sent = chunks.mapInArrow(send_anchors, "bucket long, chunk long, keys binary, multi binary")
     shared = space.save(sent.groupBy("bucket").applyInArrow(_shared, "chunk long, bucket long, bits binary"), "shared")
@@ -222,20 +149,20 @@ def remove_repeats(docs: DataFrame, space: Workspace, chunk_text: int = CHUNK_TE
         return chunk.candidates(at[_flags(answers, (key >> np.uint64(32)).astype(np.int64))[place]])
 
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in rows(batches):
             chunk = Chunk(row)
             bucket, key, least, _ = chunk.windows(candidate_windows(chunk, row["shared"]), n)
             base = int(least.min()) if len(least) else 0
             width = 4 if len(least) and int(least.max()) - base < 2**32 else 8
             small = (least - base).astype(np.uint32) if width == 4 else least
-            runs = list(_runs(bucket))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _, _ in runs], pa.int64()), "chunk": pa.array([row["chunk"]] * len(runs), pa.int64()), "keys": pa.array([key[i:j].tobytes() for _, i, j in runs], pa.binary()), "least": pa.array([small[i:j].tobytes() for _, i, j in runs], pa.binary()), "base": pa.array([base] * len(runs), pa.int64()), "width": pa.array([width] * len(runs), pa.int32())})
+            held = list(runs(bucket))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _, _ in held], pa.int64()), "chunk": pa.array([row["chunk"]] * len(held), pa.int64()), "keys": pa.array([key[i:j].tobytes() for _, i, j in held], pa.binary()), "least": pa.array([small[i:j].tobytes() for _, i, j in held], pa.binary()), "base": pa.array([base] * len(held), pa.int64()), "width": pa.array([width] * len(held), pa.int32())})
 
-    sent = _answered(chunks, shared, "shared").mapInArrow(send_windows, "bucket long, chunk long, keys binary, least binary, base long, width int")
+    sent = answered(chunks, shared, "shared").mapInArrow(send_windows, "bucket long, chunk long, keys binary, least binary, base long, width int")
     earlier = space.save(sent.groupBy("bucket").applyInArrow(_earlier, "chunk long, bucket long, bits binary"), "earlier")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in rows(batches):
             chunk = Chunk(row)
             at = candidate_windows(chunk, row["shared"])
             bucket, _, least, place = chunk.windows(at, n)
@@ -253,4 +180,4 @@ def remove_repeats(docs: DataFrame, space: Workspace, chunk_text: int = CHUNK_TE
                 part = slice(lo, lo + 2000)
                 yield pa.RecordBatch.from_pydict({"doc_id": ids[part], "n_words": pa.array(chunk.counts[part]), "n_removed": pa.array((chunk.counts - np.diff(held))[part]), "text": pa.array(texts[part], pa.binary()).cast(pa.string())})
 
-    return _answered(_answered(chunks, shared, "shared"), earlier, "earlier").mapInArrow(keep, "doc_id long, n_words long, n_removed long, text string")
+    return answered(answered(chunks, shared, "shared"), earlier, "earlier").mapInArrow(keep, "doc_id long, n_words long, n_removed long, text string")
