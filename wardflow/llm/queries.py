@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardflow.llm import decontaminate, line_dedup, mixing, quality_rules, simhash, substring_dedup, token_ids
+from wardflow.llm import decontaminate, line_dedup, lm_scoring, mixing, quality_rules, simhash, substring_dedup, token_ids
 from wardflow.llm._util import Workspace
 
 
@@ -23,6 +23,10 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.read_ids(token_ids.write_ids(_table(spark, sf_dir, "documents"), tokenizer_file(), Workspace(spark)))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_table(spark, sf_dir, "documents"), Workspace(spark))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"), Workspace(spark))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -51,7 +55,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_token_ids, op3_simhash, op4_substring_dedup, op5_decontaminate, op6_quality_rules, op9_line_dedup, op10_mixing]
+    own = [op1_token_ids, op2_lm_scoring, op3_simhash, op4_substring_dedup, op5_decontaminate, op6_quality_rules, op9_line_dedup, op10_mixing]
     return {f.__name__: f for f in own}
 
 
