@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardflow.llm import decontaminate, line_dedup, lm_scoring, mixing, quality_rules, simhash, substring_dedup, token_ids
+from wardflow.llm import decontaminate, line_dedup, lm_scoring, mixing, quality_rules, rule_ensemble, simhash, substring_dedup, surrogates, token_ids
 from wardflow.llm._util import Workspace
 
 
@@ -46,6 +46,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymise(_table(spark, sf_dir, "documents"), Workspace(spark))
+
+
+def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), Workspace(spark))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(_table(spark, sf_dir, "pages"), Workspace(spark))
 
@@ -55,7 +63,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_token_ids, op2_lm_scoring, op3_simhash, op4_substring_dedup, op5_decontaminate, op6_quality_rules, op9_line_dedup, op10_mixing]
+    own = [op1_token_ids, op2_lm_scoring, op3_simhash, op4_substring_dedup, op5_decontaminate, op6_quality_rules, op7_surrogates, op8_rule_ensemble, op9_line_dedup, op10_mixing]
     return {f.__name__: f for f in own}
 
 
