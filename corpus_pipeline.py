@@ -1,19 +1,41 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read again by the next.
+
+Quality rules drop what the base rule or the learned decision list rejects; SimHash near-dedup keeps one document of
+each component; decontamination drops documents that hold a benchmark item; mixing takes words of each source towards
+its target (a document comes once for each pass over its source that takes words of it); token ids are written as
+Simple-8b files and read back. No stage can be said in SQL as a whole, so the rows are tested against brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardflow.llm import quality_rules
+from wardflow.llm import decontaminate, mixing, quality_rules, simhash, token_ids
 from wardflow.llm._util import Workspace
+from wardflow.llm.queries import tokenizer_file
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule or the learned decision list rejects go."""
     return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), Workspace(spark))
 
 
-STAGES = [("quality_rules", quality)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs, Workspace(spark))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs, Workspace(spark))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_ids.read_ids(token_ids.write_ids(docs, tokenizer_file(), Workspace(spark)))
+
+
+STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixture), ("token_ids", tokens)]
 ORACLE_SQL = None
 
 
@@ -22,4 +44,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, space = spark.read.parquet(f"{sf_dir}/documents.parquet"), Workspace(spark)
     for k, (name, stage) in enumerate(STAGES):
         docs = space.save(stage(spark, docs, sf_dir), f"{k}-{name}")
+        if k:
+            space.drop(f"{k - 1}-{STAGES[k - 1][0]}")
     return docs
