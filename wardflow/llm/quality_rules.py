@@ -191,6 +191,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, space: Workspace) -> DataFrame
 
 def _filtered(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    # the row number keeps the optimiser from pushing the verdict below the statistics, which would count them anew for each condition
+    # a condition on the row number keeps the optimiser from pushing the verdict below the statistics, which would count them anew for each condition
     stats = text_stats(packed, "_row").withColumn("_n", F.monotonically_increasing_id())
-    return stats.where(verdict(rules) == 0).select("_row.*")
+    return stats.where((verdict(rules) == 0) & (F.col("_n") >= 0)).select("_row.*")
