@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardflow.llm._util import free_name
+
 WORDS = 5
 THRESHOLD = 0.8
 #: Sketch rows (16 bytes each) up to which the items' side is broadcast; beyond it the join shuffles.
@@ -70,8 +72,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that hold no item."""
-    bad = contaminated(docs, items, threshold).select(F.col("doc_id").alias("bad_doc")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_doc")), "left_anti")
+    bad_doc = free_name(docs, "bad_doc")
+    bad = contaminated(docs, items, threshold).select(F.col("doc_id").alias(bad_doc)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(bad_doc)), "left_anti")
 
 
 ORACLE = rf"""

@@ -25,6 +25,8 @@ SHARE = 1.5
 MOST = 2.0
 BLOCK = 64
 SHARD_BLOCKS = 65_536
+#: Parts of a source whose documents are put in order apart; fixed, so that the mix does not depend on the cluster.
+BUCKETS = 1024
 SEED = 20_240_601
 
 
@@ -112,16 +114,18 @@ def slot_table(targets: DataFrame, seed: int = SEED, shard_blocks: int = SHARD_B
 
 def sized(docs: DataFrame, space: Workspace, name: str = "sized") -> DataFrame:
     """(row_key, doc_id, source, source_key, bucket, size), saved: one row per document, whose key never changes again."""
-    nb = buckets(docs.sparkSession)
-    out = docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).select(
-        F.monotonically_increasing_id().alias("row_key"),
+    return space.save(_keyed_sizes(docs.select(F.monotonically_increasing_id().alias("row_key"), "doc_id", "source", n_words(F.col("text")).alias("size"))), name)
+
+
+def _keyed_sizes(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "row_key",
         "doc_id",
         "source",
         F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source")).alias("source_key"),
-        F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), "size"), F.lit(nb)).cast("int").alias("bucket"),
+        F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), "size"), F.lit(BUCKETS)).cast("int").alias("bucket"),
         "size",
     )
-    return space.save(out, name)
 
 
 def offsets(rows: DataFrame) -> DataFrame:
@@ -166,8 +170,8 @@ def mix_summary(docs: DataFrame, space: Workspace) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, space: Workspace) -> DataFrame:
     """The mix as documents: one row per document and epoch that takes words of it, with those words in order."""
-    keyed = space.save(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
-    rows = space.save(keyed.select("row_key", "doc_id", "source", F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source")).alias("source_key"), F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), n_words(F.col("text"))), F.lit(buckets(docs.sparkSession))).cast("int").alias("bucket"), n_words(F.col("text")).alias("size")), "sized")
+    keyed = space.save(docs.select("doc_id", "text", "lang", "source", F.monotonically_increasing_id().alias("row_key")), "keyed")
+    rows = space.save(_keyed_sizes(keyed.select("row_key", "doc_id", "source", n_words(F.col("text")).alias("size"))), "sized")
     targets = space.save(source_targets(rows.groupBy("source_key").agg(F.sum("size").alias("source_size"))), "targets")
     placed = offsets(rows).join(targets.select("source_key", "source_id"), "source_key")
     # the planner takes a table made in Python for as small as what it was made from, and would broadcast the slots

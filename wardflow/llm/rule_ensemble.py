@@ -5,13 +5,14 @@ weighs the rules and drops most; what is left is one Spark column. Labels are le
 crc32(doc_id as text) mod 5 is not 0, at most FIT_ROWS of them, chosen by a hash of doc_id.
 
 Defined cases: null and empty texts have statistics of 0 and get a score like any other; null labels are left out; of
-several labels for one document the smallest holds; null doc_ids are never held out; with no labels, or labels of one
-class only, the score is the smoothed share of label 1; equal rows get equal scores; an empty table gives an empty
+several labels for one document the smallest holds; null doc_ids are never held out; with no labels, labels of one
+class only or too few rows for any rule, the score is the smoothed share of label 1; equal rows get equal scores; an empty table gives an empty
 result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -87,14 +88,15 @@ def fit(stats: DataFrame, labels: DataFrame, space: Workspace, fit_rows: int = F
     names = list(features())
     rows = space.save(stats.join(known, "doc_id").select("label", *[c.alias(f"x_{n}") for n, c in features().items()], *[c for c in stats.columns if c != "doc_id"]), "fit").coalesce(2)
     n, ones = rows.agg(F.count("*"), F.sum("label")).first()
+    share = ((ones or 0) + 0.5) / (n + 1)
+    constant = Ensemble(math.log(share / (1 - share)), [])
     if not n or not ones or ones == n:
-        import math
-
-        share = ((ones or 0) + 0.5) / (n + 1)
-        return Ensemble(math.log(share / (1 - share)), [])
+        return constant
     x = rows.withColumn("features", array_to_vector(F.array(*[f"x_{n}" for n in names])))
     trees = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=48, subsamplingRate=0.7, featureSubsetStrategy="onethird", seed=SEED, minInstancesPerNode=10).fit(x.select("label", "features"))
     rules = tree_rules(trees, names)
+    if not rules:
+        return constant
     hits = space.save(rows.select("label", F.array(*[rule_column(r).cast("double") for r in rules]).alias("hits")), "hits").coalesce(2).select("label", array_to_vector("hits").alias("features"))
     model = LogisticRegression(elasticNetParam=1.0, regParam=PENALTY, standardization=False, maxIter=60).fit(hits)
     return Ensemble(float(model.intercept), [(float(w), r) for w, r in zip(model.coefficients, rules, strict=True) if abs(w) > 1e-6])

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardflow.llm._util import Workspace, lower_ascii, pieces, text_bytes, word_spans
+from wardflow.llm._util import Workspace, free_name, lower_ascii, pieces, text_bytes, word_spans
 
 SHINGLE = 3
 BUDGET = 2
@@ -220,8 +220,9 @@ def near_duplicates(docs: DataFrame, space: Workspace, shingle: int = SHINGLE, b
 
 def one_of_each(docs: DataFrame, space: Workspace, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """The documents, one of each component: the row with the least doc_id. Equal doc_ids are rows of their own."""
-    keyed = space.save(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
-    groups = near_duplicates(keyed.select(F.col("row_key").alias("doc_id"), "text"), space, shingle, budget)
-    named = groups.join(keyed.select(F.col("row_key").alias("doc_id"), F.col("doc_id").alias("named")), "doc_id")
-    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("named").isNull(), "named", "doc_id"))["doc_id"].alias("row_key"))
-    return keyed.join(kept.select("row_key"), "row_key", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    row_key = free_name(docs, "row_key")
+    keyed = space.save(docs.withColumn(row_key, F.monotonically_increasing_id()), "keyed")
+    groups = near_duplicates(keyed.select(F.col(row_key).alias("doc_id"), "text"), space, shingle, budget)
+    named = groups.join(keyed.select(F.col(row_key).alias("doc_id"), F.col("doc_id").alias("named")), "doc_id")
+    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("named").isNull(), "named", "doc_id"))["doc_id"].alias(row_key))
+    return keyed.join(kept.select(row_key), row_key, "left_semi").select(*[f"`{c}`" for c in docs.columns])

@@ -32,6 +32,19 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def _wide_space_ends(raw: np.ndarray) -> np.ndarray:
+    """Where the last byte of a white-space character beyond ASCII may lie; what follows it is never split off."""
+    out = np.zeros(len(raw), bool)
+    if len(raw) < 2 or not (raw >= 0xC2).any():
+        return out
+    one, two = raw[:-1], raw[1:]
+    out[1:] = (one == 0xC2) & ((two == 0x85) | (two == 0xA0))
+    if len(raw) > 2:
+        a, b, c = raw[:-2], raw[1:-1], raw[2:]
+        out[2:] |= ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))) | ((a == 0xE2) & (b == 0x81) & (c == 0x9F)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+    return out
+
+
 class Encoder:
     """Ids of texts, working on each distinct unit (white space and the run of other characters after it) once.
 
@@ -66,7 +79,7 @@ class Encoder:
         raw, off = text_bytes(texts)
         space = _SPACE[raw]
         start = space.copy()
-        start[1:] &= ~space[:-1]
+        start[1:] &= ~space[:-1] & ~_wide_space_ends(raw)[:-1]
         start[off[:-1][off[:-1] < len(raw)]] = True
         starts = np.flatnonzero(start)
         bounds = np.append(starts, len(raw)).astype(np.int64)
