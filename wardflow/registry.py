@@ -1,11 +1,37 @@
-"""All queries of the library by name."""
+"""All queries of the library by name, each with the SQL that says the same where SQL can."""
 
 from __future__ import annotations
 
+import importlib
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+MODULES = ("plans.attendance", "plans.money", "plans.liabilities", "operators.ledger", "operators.intervals", "operators.relational", "operators.cleaning", "operators.text", "functions.scalars", "streaming.jobs")
+_QUERIES: dict[str, Callable] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable:
+    """Registers a function (spark, sf_dir) -> DataFrame under its own name."""
+
+    def keep(f: Callable) -> Callable:
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _ORACLES[f.__name__] = oracle
+        return f
+
+    return keep
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"wardflow.{name}")
+
+
+def queries() -> dict[str, Callable]:
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_ORACLES)
