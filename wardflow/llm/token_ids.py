@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from wardflow.llm._util import Workspace, pieces, text_bytes
 END_ID = 0
 FILE_TEXT = 12 << 20
 #: Units whose ids a worker keeps; further ones are encoded anew in each file.
-CACHE_UNITS = 600_000
+CACHE_UNITS = 800_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -57,21 +58,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.width = np.dtype("H" if self.tokenizer.get_vocab_size() <= 65_536 else "I")
 
-    def _unit_ids(self, units: list[str]) -> list[np.ndarray]:
-        known, out = self.known, [None] * len(units)
-        missing = []
-        for i, u in enumerate(units):
-            if (hit := known.get(u)) is None:
-                missing.append(i)
-            else:
-                out[i] = hit
+    def _unit_ids(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit, as bytes of the tokenizer's id width."""
+        known, code = self.known, self.width.char
+        out = list(map(known.get, units))
+        missing = [i for i, x in enumerate(out) if x is None]
         for at in range(0, len(missing), 20_000):
             part = missing[at : at + 20_000]
             for i, e in zip(part, self.tokenizer.encode_batch_fast([units[i] for i in part], add_special_tokens=False), strict=True):
-                out[i] = got = np.array(e.ids, np.uint16 if max(e.ids, default=0) < 65_536 else np.uint32)
-                if len(known) < CACHE_UNITS:
-                    known[units[i]] = got
+                out[i] = array(code, e.ids).tobytes()
+            if len(known) < CACHE_UNITS:
+                known.update((units[i], out[i]) for i in part)
         return out
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,11 +84,11 @@ class Encoder:
         bounds = np.append(starts, len(raw)).astype(np.int64)
         units = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw))).dictionary_encode()
         ids = self._unit_ids(units.dictionary.to_pylist())
-        ids.append(np.array([END_ID], np.uint16))
-        lengths = np.array([len(x) for x in ids], np.int64)
+        ids.append(array(self.width.char, [END_ID]).tobytes())
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width.itemsize
         first = np.zeros(len(ids), np.int64)
         np.cumsum(lengths[:-1], out=first[1:])
-        pool = np.concatenate(ids)
+        pool = np.frombuffer(b"".join(ids), self.width)
         before = np.searchsorted(starts, off[1:])  # units up to the end of each text
         codes = np.insert(units.indices.to_numpy().astype(np.int64), before, len(ids) - 1)
         counts = lengths[codes]
@@ -103,12 +102,18 @@ FILE_SCHEMA = "part int, seg int, doc_ids array<bigint>, doc_tokens array<bigint
 _encoders: dict[str, Encoder] = {}
 
 
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder, which keeps the units of earlier tasks. Workers import this function, so they share one table."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def write_ids(docs: DataFrame, tokenizer_path: str, space: Workspace, name: str = "token-files") -> DataFrame:
     """Writes the files and returns their table."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault(tokenizer_path, None) or Encoder(tokenizer_path)
-        _encoders[tokenizer_path] = encoder
+        encoder = encoder_of(tokenizer_path)
         part, seg = TaskContext.get().partitionId(), 0
         for batch in batches:
             for piece in pieces(batch, "text", FILE_TEXT):
