@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from wardflow.llm._util import buckets, gather, lower_ascii, pieces, text_bytes, word_spans
 
-CHUNK_TEXT = 8 << 20
+CHUNK_TEXT = 4 << 20
 #: Bytes of answers up to which they are broadcast to the chunks; beyond it the join shuffles.
 BROADCAST_BYTES = 64 << 20
 #: Words for each bucket at most, so that a bucket's task stays small.
