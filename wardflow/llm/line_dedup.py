@@ -17,6 +17,7 @@ from wardflow.llm._util import Workspace
 
 RATIO = 0.3
 MIN_PAGES = 3
+SALTS = 32
 #: Tags inside a line; every other tag ends one.
 INLINE = r"(?i)</?(?:a|b|i|u|s|em|strong|span|small|sub|sup|mark|code|abbr|cite|q|font)(?:\s[^<>]*)?>"
 BREAK = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^<>]*>|[\r\n]"
@@ -43,11 +44,14 @@ def drop_boilerplate(pages: DataFrame, space: Workspace, ratio: float = RATIO, m
     cut = space.save(pages.select("page_id", host_of(F.col("url")).alias("host"), page_lines(F.col("html")).alias("lines")), "lines")
     totals = cut.groupBy("host").agg(F.count("*").alias("host_pages"))
     seen = cut.select("host", F.explode(F.array_distinct(F.transform("lines", line_key))).alias("key")).groupBy("host", "key").agg(F.count("*").alias("with_line")).where(F.col("with_line") >= min_pages)
-    often = seen.join(totals, "host").where(F.col("with_line") > F.col("host_pages") * ratio).groupBy("host").agg(F.collect_list("key").alias("drop"))
+    # a host may hold a third of all pages: its rows are spread over SALTS parts, and the host's own row goes to each
+    spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    often = seen.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(totals.withColumn("salt", spread), ["host", "salt"]).where(F.col("with_line") > F.col("host_pages") * ratio).groupBy("host").agg(F.collect_list("key").alias("drop"))
     per_host = totals.join(often, "host", "left").withColumn("drop", F.coalesce("drop", F.array().cast("array<bigint>")))
     kept = F.when(F.size("drop") == 0, F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("drop"), line_key(x))))
     return (
-        cut.join(per_host, "host")
+        cut.withColumn("salt", F.pmod(F.xxhash64("page_id", "lines"), F.lit(SALTS)).cast("int"))
+        .join(per_host.withColumn("salt", spread), ["host", "salt"])
         .withColumn("kept", kept)
         .select("page_id", "host", "host_pages", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
     )
