@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over `documents`, each written as Parquet and read again by the next.
 
-Quality rules drop what the base rule or the learned decision list rejects; SimHash near-dedup keeps one document of
-each component; decontamination drops documents that hold a benchmark item; mixing takes words of each source towards
+Quality rules drop what the base rule or the learned decision list rejects; near-dedup keeps one document of each
+component of five-word Jaccard similarity 0.8 or more; decontamination drops documents that hold a benchmark item; mixing takes words of each source towards
 its target (a document comes once for each pass over its source that takes words of it); token ids are written as
 Simple-8b files and read back. No stage can be said in SQL as a whole, so the rows are tested against brute force.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardflow.llm import decontaminate, mixing, quality_rules, simhash, token_ids
+from wardflow.llm import decontaminate, mixing, near_dedup as near_copies, quality_rules, token_ids
 from wardflow.llm._util import Workspace
 from wardflow.llm.queries import tokenizer_file
 
@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs, Workspace(spark))
+    return near_copies.one_of_each(docs, Workspace(spark))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_ids.read_ids(token_ids.write_ids(docs, tokenizer_file(), Workspace(spark)))
 
 
-STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixture), ("token_ids", tokens)]
+STAGES = [("quality_rules", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixture), ("token_ids", tokens)]
 ORACLE_SQL = None
 
 
