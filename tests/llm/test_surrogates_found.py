@@ -1,0 +1,14 @@
+"""Entities that the search for surrogates must find: texts without digits, and numbers side by side."""
+
+import pytest
+
+from wardflow.llm import surrogates
+
+
+@pytest.mark.parametrize(
+    "text, part",
+    [("Η Ελένη Παπαδοπούλου έγραψε.", "Παπαδοπούλου"), ("Вчера Анна Иванова писала.", "Иванова"), ('the password = "correcthorse" is old', "correcthorse"), ('the API_KEY: "correcthorse" is old', "correcthorse"), ("Anna Weber wrote.", "Weber")],
+)
+def test_texts_without_digits_are_searched(text, part, spark, space):
+    (row,) = surrogates.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), space).collect()
+    assert row.n_entities and part not in row.text

@@ -47,8 +47,9 @@ GIVEN_END = {("f", "latin"): ["a"], ("m", "latin"): ["o", "us"], ("f", "cyrillic
 _KNOWN = {n: g for (g, _), names in GIVEN.items() for n in names}
 _TITLED = {t: g for g, ts in TITLES.items() for t in ts}
 _CAP = r"[A-ZÀ-ÖØ-ÞА-ЯΑ-ΩΆ-Ώ][\w’'-]*[^\W\d_]"
+_SECRET = "token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key"
 PATTERNS = {
-    "secret": re.compile(r"(?i)\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']([^\"'\s]{6,})[\"']"),
+    "secret": re.compile(rf"(?i)\b(?:{_SECRET})\b[\"']?\s*[=:]\s*[\"']([^\"'\s]{{6,}})[\"']"),
     "hex": re.compile(r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{32,}(?![0-9A-Za-z])"),
     "mail": re.compile(r"(?<![\w.+-])[\w.+%-]*\w@(?:[\w-]+\.)+[^\W\d_]{2,}"),
     "ip": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\w)"),
@@ -58,7 +59,9 @@ PATTERNS = {
     "phone": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?|\d{2,5}[ .-])\d{2,5}(?:[ .-]\d{2,5}){1,3}(?!\w)|(?<![\w.])\+\d{8,15}(?!\w)"),
 }
 NAME = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(sorted(_TITLED, key=len, reverse=True))})\.? (?P<titled>{_CAP}(?: {_CAP})?)|(?P<given>{'|'.join(sorted(_KNOWN, key=len, reverse=True))}) (?P<last>{_CAP}))(?!\w)")
-_SOME = rf"[0-9@]|\b(?:{'|'.join([*_TITLED, *_KNOWN])})\b"
+#: What every entity has, for RE2, whose \b and \d know ASCII only: a digit of any script, an at sign, a name or title
+#: (as part of a longer word too), or a secret's keyword.
+_SOME = rf"[\p{{Nd}}@]|{'|'.join([*_TITLED, *_KNOWN])}|(?i:{_SECRET})"
 
 
 def _number(kind: str, text: str, size: int) -> int:
