@@ -12,3 +12,22 @@ from wardflow.llm import surrogates
 def test_texts_without_digits_are_searched(text, part, spark, space):
     (row,) = surrogates.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), space).collect()
     assert row.n_entities and part not in row.text
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("+1 (826) 555-4081 190.137.223.204", ["+1 (826) 555-4081", "190.137.223.204"]),
+        ("9807915762804490 170.106.47.218", ["9807915762804490", "170.106.47.218"]),
+        ("card 9807915762804490 123 ok", ["9807915762804490"]),
+        ("card 4111 1111 1111 1111 123 ok", ["4111 1111 1111 1111"]),
+        ("4111111111111111 4111 1111 1111 1111", ["4111111111111111", "4111 1111 1111 1111"]),
+        ("+44 20 7946 0958 4111 1111 1111 1111", ["+44 20 7946 0958", "4111 1111 1111 1111"]),
+        ("+1 (826) 555-4081 123-45-6789", ["+1 (826) 555-4081", "123-45-6789"]),
+        ("+1 (826) 555-4081 +1 (826) 555-4082", ["+1 (826) 555-4081", "+1 (826) 555-4082"]),
+        ("call +44 20.79.46.95 now", ["+44 20.79.46.95"]),
+        ("from 10.1.2.3 10.1.2.4", ["10.1.2.3", "10.1.2.4"]),
+    ],
+)
+def test_numbers_side_by_side(text, want):
+    assert [e[3] for e in surrogates.entities(text)] == want

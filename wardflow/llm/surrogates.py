@@ -58,6 +58,9 @@ PATTERNS = {
     "card": re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"),
     "phone": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?|\d{2,5}[ .-])\d{2,5}(?:[ .-]\d{2,5}){1,3}(?!\w)|(?<![\w.])\+\d{8,15}(?!\w)"),
 }
+#: A card number that is complete: digits in a row, or in the usual groups.
+_COMPLETE = re.compile(r"\d{13,19}(?!\d)|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?!\d)|\d{4}([ -])\d{6}\2\d{5}(?!\d)")
+_PREFIX = re.compile(r"(?:\+\d{1,3}[ .-]|\)[ .-]?)$")
 NAME = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(sorted(_TITLED, key=len, reverse=True))})\.? (?P<titled>{_CAP}(?: {_CAP})?)|(?P<given>{'|'.join(sorted(_KNOWN, key=len, reverse=True))}) (?P<last>{_CAP}))(?!\w)")
 #: What every entity has, for RE2, whose \b and \d know ASCII only: a digit of any script, an at sign, a name or title
 #: (as part of a longer word too), or a secret's keyword.
@@ -172,15 +175,70 @@ def drawn_part(kind: str, value: str) -> str | None:
     return None if not kind.startswith("name:") or value in _NEXT.get(kind[5:], ()) else f"{kind[5:]}:{value}"
 
 
+def _ends(m: re.Match) -> list[int]:
+    """Ends of a match at its groups of digits, longest first, where a number may end."""
+    return [m.end()] + [m.start() + g.end() for g in reversed(list(re.finditer(r"\d+(?=[ .-][\d(])", m[0])))]
+
+
+def _n_digits(value: str) -> int:
+    return sum(c.isdigit() for c in value)
+
+
+def _valid(value: str) -> bool:
+    digits = [int(c) for c in value if c.isdigit()]
+    return _check_digit(digits[:-1]) == digits[-1]
+
+
+def _card_end(text: str, m: re.Match) -> int | None:
+    """End of the card number at a match: at its first complete number unless only more digits give a valid one."""
+    ends = [e for e in _ends(m) if 13 <= _n_digits(text[m.start() : e]) <= 19]
+    if not ends:
+        return None
+    whole = _COMPLETE.match(text, m.start(), m.end())
+    if whole and whole.end() in ends and (_valid(whole[0]) or not _valid(text[m.start() : ends[0]])):
+        return whole.end()
+    return ends[0]
+
+
+def _phone_end(text: str, m: re.Match) -> int | None:
+    """End of the phone number at a match: the last group within 15 digits."""
+    return next((e for e in _ends(m) if 7 <= _n_digits(text[m.start() : e]) <= 15), None)
+
+
+def _numbers(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Cards and phones in order, each searched from the end of the one before; a rejected match is searched again inside."""
+    ends, ahead, pos = {"card": _card_end, "phone": _phone_end}, {"card": (-1, -1), "phone": (-1, -1)}, 0
+    while True:
+        for kind, end_of in ends.items():
+            at = pos
+            while ahead[kind] and ahead[kind][0] < pos:
+                m = PATTERNS[kind].search(text, at)
+                end = m and end_of(text, m)
+                ahead[kind] = (m.start(), end) if end else m and ahead[kind]
+                at = m.start() + 1 if m else at
+        found = [(*span, kind) for kind, span in ahead.items() if span]
+        if not found:
+            return
+        a, pos, kind = min(found, key=lambda f: (f[0], -f[1]))
+        yield a, pos, kind, text[a:pos]
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, value) in order, without overlaps; names come as parts, kind 'name:<role>'."""
-    found = []
+    found, taken = [], []
     for kind, pattern in PATTERNS.items():
+        if kind in ("card", "phone"):
+            continue
         for m in pattern.finditer(text):
-            if kind == "card" and not 13 <= sum(c.isdigit() for c in m[0]) <= 19 or kind == "phone" and not 7 <= sum(c.isdigit() for c in m[0]) <= 15:
-                continue
             a, b = m.span(1) if kind == "secret" else m.span()
             found.append((a, b, kind, text[a:b]))
+            # a card or phone next to it must not take its digits, unless they follow a phone's own prefix
+            if kind not in ("ip", "social") or not _PREFIX.search(text, max(0, a - 8), a):
+                taken.append((a, b))
+    left = list(text) if taken else text
+    for a, b in taken:
+        left[a:b] = "_" * (b - a)
+    found += _numbers("".join(left))
     for m in NAME.finditer(text):
         if m["given"]:
             found += [(*m.span("given"), f"name:{_KNOWN[m['given']]}", m["given"]), (*m.span("last"), "name:s", m["last"])]
