@@ -1,10 +1,10 @@
 """The corpus pipeline: stages over `documents`, each written as Parquet and read again by the next.
 
 Quality rules drop what the base rule or the learned decision list rejects; near-dedup keeps one document of each
-component of five-word Jaccard similarity 0.8 or more; decontamination drops documents that hold a benchmark item; mixing takes words of each source towards
-its target (a document comes once for each pass over its source that takes words of it); token ids are written as
-Simple-8b files and read back. No stage can be said in SQL as a whole. The near-dedup
-stage is tested against a plain version in tests/llm; a run of all stages is not yet.
+component of five-word Jaccard similarity 0.8 or more; decontamination drops documents that hold a benchmark item;
+mixing takes words of each source towards its target (a document comes once for each pass over its source that takes
+words of it); token ids are written as Simple-8b files and read back. No stage can be said in SQL as a whole. The
+near-dedup stage is tested against a plain version in tests/llm; a run of all stages is not yet.
 """
 
 from __future__ import annotations

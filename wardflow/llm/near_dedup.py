@@ -1,7 +1,7 @@
 """Near-dedup of the pipeline: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-A SimHash budget as wide as 0.8 asks for (12 bits and more of 64) leaves blocks of 5 bits, in which all fingerprints
-meet, so candidates come from prefix filtering, which loses no pair: under any one order of all shingles, two sets
+A SimHash budget as wide as 0.8 asks for (12 bits and more of 64) leaves 13 blocks of about 5 bits, too few to part the
+fingerprints, and still loses pairs; so candidates come from prefix filtering, which loses none: under any one order of all shingles, two sets
 that alike share one of their first n - ceil(0.8 n) + 1. Equal sets are one class and only classes meet. The order puts
 shingles that are common in a part of the corpus last; that part decides the cost only, never the pairs. Candidates are
 verified on whole shingle sets, and components are SimHash's.
