@@ -8,23 +8,10 @@ from pyspark.sql import functions as F
 from wardflow.registry import query
 from wardflow.sources.tables import table
 
-#: Abbreviations that don't end a sentence, words without content, terms that a scope leaves out.
-ABBREVIATIONS = ("Dr", "Mr", "Mrs", "Ms", "Prof", "St", "No", "e.g", "i.e", "approx", "vs")
+#: Runs of protected texts (8 bytes each) up to which they are broadcast.
+HELD_RUNS = 2_000_000
+#: Words without content.
 EMPTY_WORDS = ("the", "and", "of", "to", "a", "in", "is", "was", "for", "with", "on", "that", "by", "are")
-TERMS = ("licence", "license", "password", "token")
-
-
-def sentences_of(text: Column) -> Column:
-    """Array of (start, text): runs up to . ! or ? before white space, or to a line's end; start counts characters from 0."""
-    short = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
-    pieces = F.split(F.coalesce(text, F.lit("")), rf"(?<=[.!?])(?<!\b(?:{short})\.)(?=\s)|(?=\n)")
-    starts = F.transform(pieces, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
-    lengths = F.transform(pieces, lambda p: F.length(p))
-    # prefix sums of the pieces' lengths
-    offsets = F.aggregate(lengths, F.struct(F.array(F.lit(0)).alias("at"), F.lit(0).alias("sum")), lambda a, n: F.struct(F.concat(a["at"], F.array(a["sum"] + n)).alias("at"), (a["sum"] + n).alias("sum")), lambda a: a["at"])
-    zipped = F.arrays_zip(starts.alias("s"), offsets.alias("o"))
-    placed = F.transform(F.filter(zipped, lambda z: z["s"].isNotNull()), lambda z: F.struct((z["o"] + F.length(z["s"]["p"]) - F.length(F.ltrim(F.regexp_replace(z["s"]["p"], r"^\s+", "")))).alias("start"), F.regexp_replace(z["s"]["p"], r"^\s+|\s+$", "").alias("text")))
-    return F.filter(placed, lambda s: s["text"] != "")
 
 
 def content_words(text: Column) -> Column:
@@ -32,28 +19,6 @@ def content_words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(*EMPTY_WORDS)))
 
 
-@query()
-def sentences(spark, sf_dir):
-    """Every sentence with its place; built from split pieces, whose starts are sums of lengths."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    return d.select("doc_id", "line_no", F.posexplode(sentences_of(F.col("line"))).alias("n", "s")).select("doc_id", "line_no", "n", "s.start", "s.text")
-
-
-@query(r"""SELECT doc_id, len(regexp_extract_all(text, '\b\d{4}-\d{2}-\d{2}\b')) AS dates, len(regexp_extract_all(text, '\b\d+ ?(?:days?|weeks?|months?|years?)\b')) AS durations, len(regexp_extract_all(text, '\b\d+(?:\.\d+)?\b')) AS numbers FROM documents WHERE text IS NOT NULL""")
-def figures(spark, sf_dir):
-    """Dates, durations and numbers of each text."""
-    count = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", count(r"\b\d{4}-\d{2}-\d{2}\b").alias("dates"), count(r"\b\d+ ?(?:days?|weeks?|months?|years?)\b").alias("durations"), count(r"\b\d+(?:\.\d+)?\b").alias("numbers"))
-
-
-@query(r"""WITH d AS (SELECT doc_id, unnest(regexp_extract_all(text, '\d{3,}')) AS figure FROM documents), b AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\d{3,}')) AS figure FROM benchmark)
-SELECT doc_id, count(DISTINCT figure) AS unsupported FROM d WHERE figure NOT IN (SELECT figure FROM b) GROUP BY 1""")
-def figure_support(spark, sf_dir):
-    """Figures of three digits or more that no source text has."""
-    found = lambda t: table(spark, sf_dir, t).withColumn("figure", F.explode(F.regexp_extract_all("text", F.lit(r"\d{3,}"), F.lit(0))))
-    return found("documents").join(found("benchmark").select("figure").distinct(), "figure", "left_anti").groupBy("doc_id").agg(F.countDistinct("figure").alias("unsupported"))
-
-
 @query(r"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), k AS (SELECT doc_id, sha256(lower(trim(line))) AS key FROM p WHERE length(trim(line)) >= 40)
 SELECT key, count(*) AS copies, count(DISTINCT doc_id) AS documents, min(doc_id) AS first_doc FROM k GROUP BY 1 HAVING count(*) > 1""")
 def exact_dup_paragraphs(spark, sf_dir):
@@ -76,21 +41,20 @@ def near_pairs(keyed: DataFrame, threshold: float = 0.8) -> DataFrame:
     return sized.withColumn("jaccard", F.col("common") / (F.col("both") - F.col("common"))).where(F.col("jaccard") >= threshold - 1e-9).drop("both")
 
 
-@query(r"""WITH t AS (SELECT item_id AS id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '' AND NOT list_contains(['the','and','of','to','a','in','is','was','for','with','on','that','by','are'], x)))) AS w FROM benchmark),
-k AS (SELECT min(id) AS id, w FROM t GROUP BY w)
-SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) AS common, len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS jaccard
-FROM k a JOIN k b ON a.id < b.id WHERE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.8 - 1e-9""")
+@query(r"""WITH t AS (SELECT doc_id AS id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '' AND NOT list_contains(['the','and','of','to','a','in','is','was','for','with','on','that','by','are'], x)))) AS w FROM documents),
+k AS (SELECT min(id) AS id, w, len(w) AS n FROM t WHERE len(w) > 0 GROUP BY w)
+SELECT a, b, common, common / (na + nb - common) AS jaccard FROM (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, len(list_intersect(a.w, b.w)) AS common FROM k a JOIN k b ON a.id < b.id AND a.n >= b.n * 0.8::DOUBLE - 1e-9 AND b.n >= a.n * 0.8::DOUBLE - 1e-9) WHERE common / (na + nb - common) >= 0.8 - 1e-9""")
 def near_dup_pairs(spark, sf_dir):
-    """Items with nearly the same content words; equal sets are one class, named by its least id."""
-    t = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.array_sort(content_words(F.col("text"))).alias("w"))
+    """Documents with nearly the same content words; equal sets are one class, named by its least id."""
+    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_sort(content_words(F.col("text"))).alias("w"))
     return near_pairs(t.groupBy("w").agg(F.min("id").alias("id")).where(F.size("w") > 0))
 
 
 def ngrams(text: Column, n: int = 4) -> Column:
-    """Distinct runs of n lower-case words."""
+    """Digests of the distinct runs of n lower-case words."""
     w = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     heads = lambda v: F.slice(v, F.lit(1), F.greatest(F.size(v) - (n - 1), F.lit(0)))
-    return F.flatten(F.transform(F.array(w), lambda v: F.array_distinct(F.transform(heads(v), lambda x, i: F.concat_ws(" ", x, *[F.get(v, i + k) for k in range(1, n)])))))
+    return F.flatten(F.transform(F.array(w), lambda v: F.array_distinct(F.transform(heads(v), lambda x, i: F.xxhash64(x, *[F.get(v, i + k) for k in range(1, n)])))))
 
 
 _GRAMS = r"SELECT {id}, array_to_string(w[i:i+3], ' ') AS g FROM (SELECT {id}, w, unnest(range(1, greatest(len(w) - 3, 0) + 1)) AS i FROM (SELECT {id}, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM {t}))"
@@ -98,9 +62,12 @@ _GRAMS = r"SELECT {id}, array_to_string(w[i:i+3], ' ') AS g FROM (SELECT {id}, w
 
 @query("WITH d AS (SELECT DISTINCT * FROM (" + _GRAMS.format(id="doc_id", t="documents") + ")), b AS (SELECT DISTINCT g FROM (" + _GRAMS.format(id="item_id", t="benchmark") + "))\nSELECT doc_id, count(*) AS shared FROM d WHERE g IN (SELECT g FROM b) GROUP BY 1")
 def ngram_overlap(spark, sf_dir):
-    """Four-word runs of each document that a protected text has too. Documents keep a digest of each run only."""
+    """Four-word runs of each document that a protected text has too. Only digests of the runs are compared and shuffled,
+    and each document's digests meet those of the protected texts first, so that hardly any leave their task."""
     grams = lambda t, key: table(spark, sf_dir, t).select(key, F.explode(ngrams(F.col("text"))).alias("g"))
     held = grams("benchmark", "item_id").select("g").distinct()
+    if held.count() <= HELD_RUNS:
+        held = F.broadcast(held)
     return grams("documents", "doc_id").join(held, "g", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
 
 
@@ -117,32 +84,6 @@ def stem_best_match(spark, sf_dir):
     return best.select("conv_id", "turn", "b.shared", (-F.col("b.t")).alias("source_turn"))
 
 
-@query("""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, count(*) FILTER (regexp_matches(lower(line), '\\b(licence|license|password|token)\\b')) AS removed, count(*) AS lines FROM p GROUP BY 1""".replace("\\\\", "\\"))
-def excluded_terms(spark, sf_dir):
-    """Lines of each document that hold an excluded term."""
-    held = lambda x: F.lower(x).rlike(rf"\b({'|'.join(TERMS)})\b")
-    lines = F.split("text", "\n")
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.size(F.filter(lines, held)).cast("long").alias("removed"), F.size(lines).cast("long").alias("lines"))
-
-
-def duration_days(text: Column) -> Column:
-    """Struct (low, high) of days in '4-6 weeks' or '3 months'; null if it is no duration."""
-    p = r"^(\d+)(?:\s*(?:-|to)\s*(\d+))?\s*(day|week|month|year)s?$"
-    t = F.lower(F.trim(text))
-    unit = F.regexp_extract(t, p, 3)
-    days = F.when(unit == "day", 1).when(unit == "week", 7).when(unit == "month", 30).otherwise(365)
-    low = F.regexp_extract(t, p, 1).try_cast("int")
-    high = F.coalesce(F.regexp_extract(t, p, 2).try_cast("int"), low)
-    return F.when(t.rlike(p), F.struct((low * days).alias("low"), (high * days).alias("high")))
-
-
-@query("SELECT p_partkey, (1 + p_size % 4) * 7 AS low, (3 + p_size % 6) * 7 AS high FROM part")
-def duration_bands(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", duration_days(F.format_string("%d-%d weeks", 1 + F.col("p_size") % 4, 3 + F.col("p_size") % 6)).alias("d"))
-    return p.select("p_partkey", F.col("d.low").alias("low"), F.col("d.high").alias("high"))
-
-
 def render(template: Column, fields: dict[str, Column]) -> Column:
     """The template with each {{field}} replaced."""
     for name, value in fields.items():
