@@ -52,7 +52,11 @@ def run_to_end(rows: DataFrame, space: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='wardflow-stream-')}"
+    """The folder that all executors share, from spark.checkpoint.dir. Only a local session may do without one."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.conf.get("spark.master", "").split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    return at or f"file://{tempfile.mkdtemp(prefix='wardflow-stream-')}"
 
 
 @query("SELECT epoch_us(ts) // 600000000 * 600 AS window_s, user_id, count(*) AS hits FROM events GROUP BY 1, 2")
