@@ -134,11 +134,11 @@ def _rules(spark, sf_dir) -> DataFrame:
     day = lambda start, n: F.date_add(F.lit(start).cast("date"), n.cast("int"))
     key = F.col("s_suppkey")
     return table(spark, sf_dir, "supplier").select(
-        key.alias("rule_id"), (key % 20).alias("practitioner_id"), (1 + key % 7).alias("weekday"), (1 + key % 3).alias("every_weeks"), (480 + 60 * (key % 4)).alias("from_minute"), (720 + 60 * (key % 5)).alias("to_minute"),
+        key.alias("rule_id"), (key % 4).alias("practitioner_id"), (1 + key % 7).alias("weekday"), (1 + key % 3).alias("every_weeks"), (480 + 60 * (key % 4)).alias("from_minute"), (720 + 60 * (key % 5)).alias("to_minute"),
         day("2023-12-01", key % 60).alias("valid_from"), F.when(key % 4 != 0, day("2024-02-01", key % 90)).alias("valid_to"))
 
 
-_RULES = """rules AS (SELECT s_suppkey AS rule_id, s_suppkey % 20 AS practitioner_id, 1 + s_suppkey % 7 AS weekday, 1 + s_suppkey % 3 AS every_weeks, 480 + 60 * (s_suppkey % 4) AS from_minute, 720 + 60 * (s_suppkey % 5) AS to_minute,
+_RULES = """rules AS (SELECT s_suppkey AS rule_id, s_suppkey % 4 AS practitioner_id, 1 + s_suppkey % 7 AS weekday, 1 + s_suppkey % 3 AS every_weeks, 480 + 60 * (s_suppkey % 4) AS from_minute, 720 + 60 * (s_suppkey % 5) AS to_minute,
   DATE '2023-12-01' + CAST(s_suppkey % 60 AS INTEGER) AS valid_from, CASE WHEN s_suppkey % 4 <> 0 THEN DATE '2024-02-01' + CAST(s_suppkey % 90 AS INTEGER) END AS valid_to FROM supplier),
 worked AS (SELECT r.*, d AS day FROM rules r, (SELECT CAST(x AS DATE) AS d FROM generate_series(DATE '2023-12-01', DATE '2024-08-31', INTERVAL 1 DAY) AS g(x))
   WHERE isodow(d) = weekday AND d >= valid_from AND (valid_to IS NULL OR d <= valid_to) AND (date_trunc('week', d)::DATE - date_trunc('week', valid_from)::DATE) // 7 % every_weeks = 0)"""

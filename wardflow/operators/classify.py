@@ -11,8 +11,8 @@ from wardflow.operators.cleaning import phone_digits
 from wardflow.registry import query
 from wardflow.sources.tables import invoice_lines, invoices, sql, table
 
-#: First words of replies, words in payers' and referrers' names, the alphabet of time-sorted ids, short forms
-#: in headers, and texts that name nothing.
+#: Fixed values that must match as they are: first words of replies, words in payers' and referrers' names, the alphabet of
+#: time-sorted ids, and short forms in headers.
 CONFIRM = ("YES", "Y", "YEP", "YEAH", "YA", "CONFIRM", "CONFIRMED", "OK", "OKAY", "SURE")
 CANCEL = ("C", "NO", "N", "NOPE", "CANCEL", "CANCELLED", "CANCELED")
 STOP = ("STOP", "STOPALL", "UNSUBSCRIBE", "END", "QUIT", "OPTOUT", "REVOKE")
@@ -24,7 +24,8 @@ PAYER_WORDS = {
 REFERRER_WORDS = {"gp": r"\bgp\b|surgery|medical centre|health centre|medical practice", "consultant": r"consultant|orthopaedic|surgeon", "self": r"self"}
 CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 SHORT_FORMS = {"addr": "address", "add": "address", "pcode": "postcode", "pc": "postcode", "tel": "telephone", "mob": "mobile", "fname": "first name", "sname": "surname", "lname": "last name"}
-NOTHING = r"(?i)^\s*(none( (reported|recorded|noted))?|n/?a|nil|nothing( (reported|recorded|noted))?|not applicable|no(ne)? restrictions?|no limitations?)\.?\s*$"
+#: Phrases that name nothing, in lower case with single blanks and without a full stop.
+NOTHING = ["n/a", "na", "nil", "not applicable", *[f"{word}{seen}" for word in ("none", "nothing") for seen in ("", " reported", " recorded", " noted")], *[f"no {what}" for what in ("restriction", "restrictions", "limitation", "limitations")]]
 
 
 def by_words(text: Column, rules: dict[str, str]) -> Column:
@@ -92,23 +93,23 @@ def time_of_id(value: Column) -> Column:
 
 
 def suggest_mapping(fields: dict[str, list[str]], headers: list[str]) -> dict[str, int | None]:
-    """Which column of a file holds each field. Names of a field stand best first; a header that is one of them wins, then
-    one that is without a leading 'patient' or 'client'. A column serves one field."""
-    key = lambda s: " ".join(re.sub(r"[^0-9a-z]+", " ", s.lower()).split())
-
-    def read(header: str) -> str:
-        parts = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", header)
-        return " ".join(SHORT_FORMS.get(w, w) for w in key(" ".join(parts)).split())
-
-    whole = [read(h) for h in headers]
-    bare = [re.sub(r"^(patients?|client|pt) ", "", h) for h in whole]
-    out: dict[str, int | None] = dict.fromkeys(fields)
-    for heads in (whole, [b if b != w else None for b, w in zip(bare, whole, strict=True)]):
-        for field, names in fields.items():
-            free = [c for c in range(len(headers)) if c not in out.values()]
-            ranked = [(rank, c) for rank, name in enumerate(map(key, names)) for c in free if heads[c] == name]
-            if out[field] is None and ranked:
-                out[field] = min(ranked)[1]
+    """Which column of a file holds each field. Every (field, name, column) whose header reads as the name is an offer; offers
+    are taken in order of: without a leading 'patient' or 'client' left off, the field, the name, the column. A column
+    serves one field."""
+    plain = lambda s: " ".join(re.sub(r"[^0-9a-z]+", " ", s.lower()).split())
+
+    def readings(header: str) -> list[str]:
+        parts = plain(" ".join(re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", header))).split()
+        whole = [SHORT_FORMS.get(w, w) for w in parts]
+        return [" ".join(whole), " ".join(whole[1:])] if whole[1:] and whole[0] in ("patient", "patients", "client", "pt") else [" ".join(whole)]
+
+    offers = [(less, f, rank, column) for column, header in enumerate(headers) for less, read in enumerate(readings(header)) for f, names in enumerate(fields.values()) for rank, name in enumerate(names) if plain(name) == read]
+    out, taken = dict.fromkeys(fields), set()
+    for _, f, _, column in sorted(offers):
+        field = list(fields)[f]
+        if out[field] is None and column not in taken:
+            out[field] = column
+            taken.add(column)
     return out
 
 
@@ -122,7 +123,8 @@ def condition_of(text: Column) -> Column:
 
 def names_something(text: Column) -> Column:
     """Null for an empty box, false for 'none', 'n/a' and the like."""
-    return F.when(F.trim(text) != "", ~text.rlike(NOTHING))
+    phrase = F.rtrim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"\s+", " "), r"\.$", ""))
+    return F.when(F.trim(text) != "", ~phrase.isin(NOTHING))
 
 
 def applies(answer: Column, wants: bool, match: str) -> Column:

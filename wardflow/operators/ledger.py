@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,22 +56,38 @@ def patient_shares(spark, sf_dir):
 
 def match_courses(visits: DataFrame, courses: DataFrame) -> DataFrame:
     """Gives each visit (patient_id, visit_id, day) the earliest-expiring course of its patient (course_id, starts_on,
-    expires_on, sessions) that covers the day and has sessions left. A choice depends on the choices before it, so no
-    window can say it; each patient's rows are a group. Columns: patient_id, visit_id, course_id (null: none)."""
-
-    def greedy(key, seen: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        held = held.sort_values(["expires_on", "course_id"])
-        left = held["sessions"].tolist()
-        spans = list(zip(held["starts_on"], held["expires_on"], held["course_id"], strict=True))
-        seen, out = seen.sort_values(["day", "visit_id"]), []
-        for day in seen["day"]:
-            k = next((i for i, (a, b, _) in enumerate(spans) if left[i] > 0 and a <= day <= b), None)
-            if k is not None:
-                left[k] -= 1
-            out.append(None if k is None else spans[k][2])
-        return pd.DataFrame({"patient_id": seen["patient_id"], "visit_id": seen["visit_id"], "course_id": pd.array(out, "Int64")})
-
-    return visits.groupBy("patient_id").cogroup(courses.groupBy("patient_id")).applyInPandas(greedy, "patient_id long, visit_id long, course_id long")
+    expires_on, sessions) that covers the day and has sessions left. Columns: patient_id, visit_id, course_id (null: none).
+
+    A choice depends on the choices before it, so no window can say it. Both kinds of rows are put in order of patient and
+    day (courses before visits) and read as a stream: the courses open at a day are a heap by expiry, and neither a
+    patient's visits nor all of the patient's courses are ever held at once.
+    """
+    day = lambda c: F.unix_date(c).cast("long")
+    opened = courses.select("patient_id", day("starts_on").alias("day"), F.lit(0).alias("kind"), F.col("course_id").alias("id"), day("expires_on").alias("expires"), F.col("sessions").cast("long").alias("sessions"))
+    seen = visits.select("patient_id", day("day").alias("day"), F.lit(1).alias("kind"), F.col("visit_id").alias("id"), F.lit(None).cast("long").alias("expires"), F.lit(None).cast("long").alias("sessions"))
+
+    def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, heap = None, []
+        for batch in batches:
+            out: list[tuple] = []
+            for patient, day_no, kind, id_, expires, sessions in zip(*(batch.column(c).to_pylist() for c in ("patient_id", "day", "kind", "id", "expires", "sessions")), strict=True):
+                if patient != who:
+                    who, heap = patient, []
+                if kind == 0:
+                    if sessions > 0:
+                        heapq.heappush(heap, [expires, id_, sessions])
+                    continue
+                while heap and heap[0][0] < day_no:
+                    heapq.heappop(heap)
+                out.append((patient, id_, heap[0][1] if heap else None))
+                if heap:
+                    heap[0][2] -= 1
+                    if not heap[0][2]:
+                        heapq.heappop(heap)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], ["patient_id", "visit_id", "course_id"])
+
+    rows = opened.unionByName(seen).withColumns({"patient_id": F.col("patient_id").cast("long"), "id": F.col("id").cast("long")})
+    return rows.repartition("patient_id").sortWithinPartitions("patient_id", "day", "kind", "id").mapInArrow(greedy, "patient_id long, visit_id long, course_id long")
 
 
 @query()
@@ -82,6 +101,11 @@ def greedy_courses(spark, sf_dir):
 
 @query(sql("invoices", "SELECT site_id, invoice_id, row_number() OVER (PARTITION BY site_id, strftime(issued_on, '%Y-%m') ORDER BY issued_on, invoice_id) AS number_seq, strftime(issued_on, '%Y-%m') AS month FROM invoices"))
 def document_numbers(spark, sf_dir):
-    """Numbers of documents by site and month."""
-    bills = invoices(spark, sf_dir).withColumn("month", F.date_format("issued_on", "yyyy-MM"))
-    return bills.select("site_id", "invoice_id", F.row_number().over(Window.partitionBy("site_id", "month").orderBy("issued_on", "invoice_id")).cast("long").alias("number_seq"), "month")
+    """Numbers of documents by site and month. Documents are numbered within their day, and days carry on from the counts of
+    the days before, so that no task holds a site's month."""
+    bills = invoices(spark, sf_dir).select("site_id", "invoice_id", "issued_on", F.date_format("issued_on", "yyyy-MM").alias("month"))
+    days = bills.groupBy("site_id", "month", "issued_on").agg(F.count("*").alias("n"))
+    before = days.withColumn("before", F.sum("n").over(Window.partitionBy("site_id", "month").orderBy("issued_on")) - F.col("n"))
+    own = bills.withColumn("own", F.row_number().over(Window.partitionBy("site_id", "month", "issued_on").orderBy("invoice_id")))
+    met = own.join(before.select(F.col("site_id").alias("s"), F.col("issued_on").alias("d"), "before"), F.col("site_id").eqNullSafe(F.col("s")) & (F.col("issued_on") == F.col("d")))
+    return met.select("site_id", "invoice_id", (F.col("own") + F.col("before")).alias("number_seq"), "month")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("plans.attendance", "plans.money", "plans.liabilities", "operators.ledger", "operators.intervals", "operators.relational", "operators.cleaning", "operators.text", "operators.classify", "functions.scalars", "functions.calendar", "streaming.jobs", "streaming.sweeps")
+MODULES = ("plans.attendance", "plans.money", "plans.liabilities", "plans.opening", "plans.records", "operators.ledger", "operators.intervals", "operators.relational", "operators.cleaning", "operators.text", "operators.statements", "operators.classify", "operators.imports", "operators.paging", "functions.scalars", "functions.calendar", "streaming.jobs", "streaming.sweeps", "streaming.steps", "sources.episodes")
 _QUERIES: dict[str, Callable] = {}
 _ORACLES: dict[str, str] = {}
 
