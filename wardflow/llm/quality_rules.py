@@ -185,12 +185,7 @@ def judge(docs: DataFrame, labels: DataFrame, space: Workspace) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, space: Workspace) -> DataFrame:
-    """The documents that the list keeps, unchanged."""
-    return _filtered(docs, learn(space.save(text_stats(docs, "doc_id"), "stats"), labels, space))
-
-
-def _filtered(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    # a condition on the row number keeps the optimiser from pushing the verdict below the statistics, which would count them anew for each condition
-    stats = text_stats(packed, "_row").withColumn("_n", F.monotonically_increasing_id())
-    return stats.where((verdict(rules) == 0) & (F.col("_n") >= 0)).select("_row.*")
+    """The documents that the list keeps, unchanged. Their statistics are worked out once and saved beside each row."""
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    judged = space.save(text_stats(packed, "doc_id", "_row"), "judged")
+    return judged.where(verdict(learn(judged.drop("_row"), labels, space)) == 0).select("_row.*")
