@@ -65,12 +65,20 @@ def test_planted_near_copies(planted, spark, sf):
     assert sorted(r.doc_id for r in got.collect()) == sorted(i for k in range(60) for i in (10 * k, 10 * k + 2))
 
 
-def test_order_of_shingles_loses_no_pair(planted, spark, space, monkeypatch):
-    """Common shingles, and an order from a small part of the texts, change the candidates but not the pairs."""
+@pytest.mark.parametrize("node, block_shingles", [(near_dedup.NODE, near_dedup.BLOCK_SHINGLES), (1, 900), (3, 4_000)])
+def test_roots_clusters_and_blocks_lose_no_link(planted, spark, space, monkeypatch, node, block_shingles):
+    """Common shingles, an order from a small part of the texts, clusters without a walk and many blocks change the work but not the components."""
     monkeypatch.setattr(near_dedup, "COMMON", 1)
     shared = " ".join(f"common{i}" for i in range(30))
     rows = [(i, f"{text} {shared}") for i, text in planted]
-    sets = {i: shingles(t) for i, t in rows}
-    want = sorted((a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9)
-    got = near_dedup.similar_pairs(spark.createDataFrame(rows, "id long, text string"), space, counted=40)
-    assert sorted((r.a, r.b) for r in got.collect()) == want and want
+    base = planted[6][1].split()
+    rows += [(10_000 + k, " ".join(f"v{k}" if i in (k, k + 60) else w for i, w in enumerate(base))) for k in range(50)]
+    sets = [shingles(t) for _, t in rows]
+    want, least = components(sets), {}
+    for (i, _), root in zip(rows, want, strict=True):
+        least[root] = min(least.get(root, i), i)
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = near_dedup.similar(df, near_dedup.marks(df, near_dedup.common_shingles(df, 40)), space, node=node, block_shingles=block_shingles)
+    labels = {r.v: r.label for r in got.collect()}
+    assert {i: labels.get(i, i) for i, _ in rows} == {i: least[root] for (i, _), root in zip(rows, want, strict=True)}
+    assert len(set(want)) < len(rows) - 60

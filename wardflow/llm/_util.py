@@ -21,9 +21,11 @@ _LOWER[65:91] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir; one of our own only in a local session where that is unset."""
     at = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if spark.conf.get("spark.master", "").split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         at = f"file://{tempfile.mkdtemp(prefix='wardflow-')}"
         spark.sparkContext.setCheckpointDir(at)
     elif not spark.sparkContext.getCheckpointDir():
@@ -36,17 +38,19 @@ class Workspace:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/wardflow-{uuid.uuid4().hex}"
+        self._saved: dict[str, str] = {}
         atexit.register(self.clear)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
-        return self.read(name, df.schema)
-
-    def read(self, name: str, schema) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+    def save(self, df: DataFrame, name: str, *parted: str) -> DataFrame:
+        """Writes the table, a folder for each value of the columns `parted`, and returns it as read back. An earlier table of that name stays until it is dropped by `clear`."""
+        self._saved[name] = at = f"{self.root}/{name}-{uuid.uuid4().hex[:12]}"
+        (df.write.partitionBy(*parted) if parted else df.write).parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, name: str) -> None:
-        self._delete(f"{self.root}/{name}")
+        """Deletes the table last saved under the name."""
+        if name in self._saved:
+            self._delete(self._saved.pop(name))
 
     def clear(self) -> None:
         try:
@@ -60,6 +64,15 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of ids up to which a join broadcasts them (about 30 MB); beyond it both sides are shuffled.
+NARROW_ROWS = 2_000_000
+
+
+def narrow(ids: DataFrame) -> DataFrame:
+    """A table of one id column, broadcast in joins if it is small when counted."""
+    return F.broadcast(ids) if ids.limit(NARROW_ROWS + 1).count() <= NARROW_ROWS else ids.hint("merge")
+
+
 def buckets(spark: SparkSession) -> int:
     """How many hash buckets of rows to aim at: as many as the session's shuffle partitions."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -1,10 +1,14 @@
-"""Near-dedup of the pipeline: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""SimHash near-dedup at a Jaccard similarity: documents whose sets of five-word shingles are alike to 0.8 or more.
 
-A SimHash budget as wide as 0.8 asks for (12 bits and more of 64) leaves 13 blocks of about 5 bits, too few to part the
-fingerprints, and still loses pairs; so candidates come from prefix filtering, which loses none: under any one order of all shingles, two sets
-that alike share one of their first n - ceil(0.8 n) + 1. Equal sets are one class and only classes meet. The order puts
-shingles that are common in a part of the corpus last; that part decides the cost only, never the pairs. Candidates are
-verified on whole shingle sets, and components are SimHash's.
+At 0.8 two fingerprints of 64 bits differ in about 10 bits, up to 22. No block of bits is then sure to agree, so the
+tries of operator 3 get other roots: every shingle of a document's prefix roots a trie of the fingerprints that hold it.
+Under any one order of all shingles, sets alike to the threshold share one of their first n - ceil(0.8 n) + 1, so pairs
+meet under some root; there the trie is walked, pairs of nodes together, and what differs in over BUDGET bits goes. The
+order puts shingles that are common in a part of the corpus last; that part decides the cost only, never the pairs.
+A root with over NODE documents is not walked: its documents are taken as one cluster.
+
+What met is verified on whole sets: components of the candidates are cut into blocks of bounded size, a task compares
+one pair of blocks, and only a forest of the links leaves it. Documents with equal sets are one class from the start.
 
 Words are those of SimHash, shingles are 64-bit hashes. Defined cases: a text with fewer words than a shingle is one
 shingle; texts without words (null, empty) are one class; equal doc_ids are rows of their own; a null doc_id is kept
@@ -21,14 +25,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardflow.llm._util import Workspace, free_name, lower_ascii, pieces, text_bytes, word_spans
-from wardflow.llm.simhash import SEED, components
+from wardflow.llm._util import Workspace, free_name, gather, lower_ascii, mix64, narrow, pieces, text_bytes, word_spans
+from wardflow.llm.simhash import components, forest, walk
 
 WORDS = 5
 THRESHOLD = 0.8
+#: Differing bits of 64 beyond which a pair isn't verified; at 0.8 the mean is 9.7 and one pair in 40,000 has more than 22.
+BUDGET = 22
+#: Documents under one shingle beyond which they are one cluster without a walk.
+NODE = 64
+#: Shingles of a block of a cluster, about; members from which a block's pairs are counted by a matrix product.
+BLOCK_SHINGLES = 200_000
+MANY = 24
 #: Documents, about, whose shingles are counted for the order; how many of them make a shingle common; most common ones.
-COUNTED = 50_000
-COMMON = 8
+COUNTED = 20_000
+COMMON = 4
 MOST_COMMON = 1_000_000
 
 
@@ -37,26 +48,31 @@ def shingle_sets(texts: pa.Array, size: int = WORDS) -> list[np.ndarray]:
     raw, off = text_bytes(texts)
     raw = lower_ascii(raw)
     starts, ends, before = word_spans(raw, off)
-    digest, out = xxhash.xxh64_intdigest, []
-    at = np.zeros(len(starts) + 1, np.int64)
-    np.cumsum(ends - starts + 1, out=at[1:])
-    # words with one blank after each, so that a shingle is one slice
-    packed = np.full(at[-1], 32, np.uint8)
-    inside = np.ones(at[-1], bool)
-    inside[at[1:] - 1] = False
-    mark = np.zeros(len(raw) + 1, np.int8)
-    mark[starts] += 1
-    np.subtract.at(mark, ends, 1)
-    packed[inside] = raw[np.cumsum(mark[:-1], dtype=np.int8).astype(bool)]
-    view = memoryview(packed)
-    for lo, hi in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
-        span = min(size, hi - lo)
-        n = hi - lo - span + 1 if span else 0
-        a, b = at[lo : lo + n].tolist(), (at[lo + span : lo + span + n] - 1).tolist()
-        out.append(np.unique(np.fromiter((digest(view[i:j], SEED) for i, j in zip(a, b, strict=True)), np.uint64, n).view(np.int64)))
+    coded = gather(raw, starts, ends).dictionary_encode()
+    digest = xxhash.xxh64_intdigest
+    known = np.array([digest(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()], np.uint64)
+    word = known[np.asarray(coded.indices)] if len(known) else np.zeros(0, np.uint64)
+    first, counts = before[:-1], np.diff(before)
+    whole, h = np.zeros(len(counts), np.uint64), mix64(word)
+    for k in range(1, size):
+        short = np.flatnonzero(counts == k)
+        whole[short] = h[first[short]]
+        h = mix64(h[: max(len(word) - k, 0)] * np.uint64(0x9E3779B97F4A7C15) + word[k:])
+    out = []
+    for i, (lo, n) in enumerate(zip(first.tolist(), counts.tolist(), strict=True)):
+        some = h[lo : lo + n - size + 1] if n >= size else whole[i : i + min(n, 1)]
+        out.append(np.unique(some.view(np.int64)))
     return out
 
 
+def fingerprint(shingles: np.ndarray) -> int:
+    """The 64-bit SimHash of a set, signed."""
+    if not len(shingles):
+        return 0
+    ones = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view(np.int64)[0])
+
+
 def prefix_size(n: int, threshold: float = THRESHOLD) -> int:
     return n - int(np.ceil(n * threshold - 1e-9)) + 1 if n else 0
 
@@ -78,10 +94,6 @@ def _mapped(rows: DataFrame, made, schema: str) -> DataFrame:
     return rows.select("id", "text").mapInArrow(run, schema)
 
 
-def _classes(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([ids, pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], ["id", "set", "n"])
-
-
 def _sets(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, _list(sets)], ["id", "h"])
 
@@ -96,50 +108,157 @@ def common_shingles(rows: DataFrame, counted: int = COUNTED) -> tuple[np.ndarray
     return h[order], np.log2(n[order]).astype(np.int64)
 
 
-def similar_pairs(rows: DataFrame, space: Workspace, threshold: float = THRESHOLD, counted: int = COUNTED) -> DataFrame:
-    """Pairs (a, b) of ids of rows (id, text), all with different shingle sets, whose sets are alike to the threshold."""
-    h, level = common_shingles(rows, counted)
-    known = rows.sparkSession.sparkContext.broadcast((h, level))
+def marks(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
+    """id, set (a digest of the shingle set), n (its size), fp (its fingerprint), prefix (hashes) of rows (id, text)."""
+    known = rows.sparkSession.sparkContext.broadcast(common)
 
-    def first(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+    def made(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
         common, levels = known.value
-        out = []
+        prefixes = []
         for s in sets:
             rank = np.zeros(len(s), np.int64)
             if len(common):
                 at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                 rank = np.where(common[at] == s, levels[at], 0)
-            out.append(s[np.lexsort((s, rank))][: prefix_size(len(s), threshold)])
-        sizes = [len(o) for o in out]
-        flat = np.concatenate(out) if out else np.zeros(0, np.int64)
-        places = np.concatenate([np.arange(k) for k in sizes]) if out else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids.to_numpy(zero_copy_only=False), sizes)), pa.array(np.repeat([len(s) for s in sets], sizes).astype(np.int64)), pa.array(places.astype(np.int64)), pa.array(flat)], ["id", "n", "place", "x"])
-
-    prefix = space.save(_mapped(rows, first, "id long, n long, place long, x long"), "prefix")
-    shared = prefix.groupBy("x").count().where("count > 1").select("x")
-    prefix = space.save(prefix.join(shared, "x"), "shared-prefix")
-    a, b = prefix.select("x", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa")), prefix.select("x", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
-    least = (F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - 1e-6
-    # the first shingle that a pair shares leaves room for enough others; a later one may not, but the first is met too
-    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    met = space.save(a.join(b.hint("merge"), "x").where((F.col("a") < F.col("b")) & (room >= least)).select("a", "b").distinct(), "met")
-    held = met.select(F.col("a").alias("id")).union(met.select("b")).distinct()
-    sets = space.save(_mapped(rows.join(held, "id", "left_semi"), _sets, "id long, h array<long>"), "sets")
-    sa, sb = sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), sets.select(F.col("id").alias("b"), F.col("h").alias("hb"))
-    both = met.join(sa.hint("merge"), "a").join(sb.hint("merge"), "b")
-    return space.save(both.where(F.size(F.array_intersect("ha", "hb")) >= (F.size("ha") + F.size("hb")) * F.lit(threshold / (1 + threshold)) - 1e-6).select("a", "b"), "alike")
-
-
-def one_of_each(docs: DataFrame, space: Workspace, threshold: float = THRESHOLD) -> DataFrame:
+            prefixes.append(s[np.lexsort((s, rank))][: prefix_size(len(s), threshold)].tobytes())
+        out = {"id": ids, "set": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), "n": pa.array([len(s) for s in sets], pa.int64()), "fp": pa.array([fingerprint(s) for s in sets], pa.int64()), "prefix": pa.array(prefixes, pa.binary())}
+        return pa.RecordBatch.from_pydict(out)
+
+    return _mapped(rows, made, "id long, set binary, n long, fp long, prefix binary")
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row (x, id, fp) for each prefix shingle x."""
+    for batch in batches:
+        x = [np.frombuffer(p, np.int64) for p in batch.column("prefix").to_pylist()]
+        sizes = [len(v) for v in x]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)), pa.array(np.repeat(batch.column("id").to_numpy(), sizes)), pa.array(np.repeat(batch.column("fp").to_numpy(), sizes))], ["x", "id", "fp"])
+
+
+def _met(budget: int, node: int):
+    """From rows (x, id, fp) in the order of x: candidate edges (a, b) by a trie walk under each x, or a star beyond `node`."""
+
+    def edges(x: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> list[np.ndarray]:
+        cut = np.flatnonzero(np.r_[True, x[1:] != x[:-1], True])
+        sizes = np.diff(cut)
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        some = (sizes[group] > 1) & (sizes[group] <= node)
+        g, i, f = group[some], ids[some], fps[some].view(np.uint64)
+        order = np.lexsort((f, g))
+        g, i, f = g[order], i[order], f[order]
+        left, right = walk(g, f, budget)
+        large = sizes[group] > node
+        return [np.stack((i[left], i[right]), 1), np.stack((ids[cut[:-1]][group[large]], ids[large]), 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+
+        def out(parts: list[np.ndarray]) -> pa.RecordBatch:
+            e = np.concatenate(parts)
+            e = np.unique(np.sort(e[e[:, 0] != e[:, 1]], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, 0])), pa.array(np.ascontiguousarray(e[:, 1]))], ["a", "b"])
+
+        for batch in batches:
+            held = [np.concatenate((h, batch.column(c).to_numpy())) for h, c in zip(held, ("x", "id", "fp"), strict=True)]
+            if len(held[0]) < 50_000:
+                continue
+            last = int(np.searchsorted(held[0], held[0][-1]))
+            if last:
+                yield out(edges(*(h[:last] for h in held)))
+                held = [h[last:] for h in held]
+            else:  # one shingle fills the rows: its first document stands for it from here on
+                yield out([np.stack((np.full(len(held[1]), held[1][0]), held[1]), 1)])
+                held = [h[: node + 1] for h in held]
+        if len(held[0]):
+            yield out(edges(*held))
+
+    return run
+
+
+def _verified(threshold: float):
+    """From rows (cluster, i, j, block, id, h) in order of cluster, i, j: a forest (a, b) of the links between block i and block j."""
+    need = threshold / (1 + threshold)
+
+    def links(ids: np.ndarray, block: np.ndarray, sets: list[np.ndarray], inside: bool) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([len(s) for s in sets], np.int64)
+        if len(ids) <= MANY:
+            pairs = [(p, q) for p in range(len(ids)) for q in range(p) if (inside or block[p] != block[q]) and min(sizes[p], sizes[q]) >= threshold * max(sizes[p], sizes[q]) - 1e-6]
+            found = [(p, q) for p, q in pairs if len(np.intersect1d(sets[p], sets[q], assume_unique=True)) >= (sizes[p] + sizes[q]) * need - 1e-6]
+            a, b = (np.array(v, np.int64) for v in (zip(*found, strict=True) if found else ((), ())))
+        else:
+            value, at = np.unique(np.concatenate(sets), return_inverse=True)
+            of = np.repeat(np.arange(len(ids)), sizes)
+            shared = np.bincount(at, minlength=len(value)) > 1
+            column = np.cumsum(shared) - 1
+            keep = shared[at]
+            at, of = column[at[keep]], of[keep]
+            order = np.argsort(at, kind="stable")
+            at, of = at[order], of[order]
+            both = np.zeros((len(ids), len(ids)), np.float32)
+            for lo in range(0, int(shared.sum()), 4096):
+                s, e = np.searchsorted(at, (lo, lo + 4096))
+                part = np.zeros((len(ids), 4096), np.float32)
+                part[of[s:e], at[s:e] - lo] = 1
+                both += part @ part.T
+            near = both >= (sizes[:, None] + sizes[None, :]) * need - 1e-6
+            if not inside:
+                near &= block[:, None] != block[None, :]
+            a, b = np.nonzero(np.triu(near, 1))
+        return forest(ids[a], ids[b]) if len(a) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, block, sets = None, [], [], []
+
+        def done() -> pa.RecordBatch:
+            a, b = links(np.array(ids, np.int64), np.array(block, np.int64), sets, key[1] == key[2])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j")), strict=True))
+            lists = batch.column("h")
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for r, (k, i, at) in enumerate(zip(keys, batch.column("id").to_pylist(), batch.column("block").to_pylist(), strict=True)):
+                if k != key:
+                    if len(ids) > 1:
+                        yield done()
+                    key, ids, block, sets = k, [], [], []
+                ids.append(i)
+                block.append(at)
+                sets.append(values[offsets[r] : offsets[r + 1]].copy())
+        if len(ids) > 1:
+            yield done()
+
+    return run
+
+
+def similar(rows: DataFrame, known: DataFrame, space: Workspace, threshold: float = THRESHOLD, budget: int = BUDGET, node: int = NODE, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(v, label): components of rows (id, text), all with different sets, linked at the threshold. known: their marks."""
+    entries = known.select("id", "fp", "prefix").mapInArrow(_entries, "x long, id long, fp long")
+    met = space.save(entries.repartition("x").sortWithinPartitions("x").mapInArrow(_met(budget, node), "a long, b long").distinct(), "met")
+    clusters = space.save(components(met, space).select(F.col("v").alias("id"), F.col("label").alias("cluster")), "clusters")
+    sized = clusters.join(known.select("id", "n"), "id").groupBy("cluster").agg(F.ceil(F.sum("n") / block_shingles).alias("blocks"))
+    placed = clusters.join(sized, "cluster").select("id", "cluster", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
+    sets = _mapped(rows.join(narrow(clusters.select("id")), "id", "left_semi"), _sets, "id long, h array<long>")
+    sent = sets.join(placed, "id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    sent = sent.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "h")
+    found = sent.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_verified(threshold), "a long, b long")
+    return components(space.save(found, "alike"), space)
+
+
+def one_of_each(docs: DataFrame, space: Workspace, threshold: float = THRESHOLD, counted: int = COUNTED) -> DataFrame:
     """The documents, one of each component of near copies: the row with the least doc_id."""
     id_ = free_name(docs, "row_id")
     keyed = space.save(docs.withColumn(id_, F.monotonically_increasing_id()), "keyed")
     rows = keyed.select(F.col(id_).alias("id"), "text")
-    classes = space.save(_mapped(rows, _classes, "id long, set binary, n long"), "classes")
-    firsts = space.save(classes.groupBy("set").agg(F.min("id").alias("class"), F.max("n").alias("n")), "firsts")
-    distinct = rows.join(firsts.where("n > 0").select(F.col("class").alias("id")), "id", "left_semi")
-    roots = components(similar_pairs(distinct, space, threshold), space)
+    marked = space.save(marks(rows, common_shingles(rows, counted), threshold), "marks")
+    firsts = space.save(marked.groupBy("set").agg(F.min("id").alias("class"), F.max("n").alias("n")), "firsts")
+    copies = marked.select("id", "set").join(firsts, "set").where("id <> class OR n = 0").select("id")
+    copies = space.save(copies, "copies")
+    distinct = rows.join(narrow(copies), "id", "left_anti")
+    roots = similar(distinct, marked.join(narrow(copies), "id", "left_anti"), space, threshold)
     named = firsts.join(roots, F.col("class") == F.col("v"), "left").select("set", F.coalesce("label", "class").alias("root"))
-    grouped = classes.join(named, "set").join(keyed.select(F.col(id_).alias("id"), F.col("doc_id").alias("named")), "id")
-    kept = grouped.groupBy("root").agg(F.min(F.struct(F.col("named").isNull(), "named", "id"))["id"].alias(id_))
-    return keyed.join(kept.select(id_), id_, "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    grouped = marked.select("id", "set").join(named, "set").join(keyed.select(F.col(id_).alias("id"), F.col("doc_id").alias("named")), "id")
+    first = F.min(F.struct(F.col("named").isNull(), "named", "id"))
+    kept = grouped.groupBy("root").agg(first["id"].alias("kept"))
+    gone = space.save(grouped.join(kept, F.col("id") == F.col("kept"), "left_anti").select(F.col("id").alias(id_)), "gone")
+    return keyed.join(narrow(gone), id_, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -80,6 +80,7 @@ def _ones(x: np.ndarray) -> np.ndarray:
 
 def walk(groups: np.ndarray, fps: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of indexes i < j of fingerprints of one group within the budget. Rows must be sorted by group, then fingerprint."""
+    fps = fps.astype(np.uint64, copy=False)
     edge = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1], True]) if len(groups) else np.zeros(1, np.int64)
     lo, hi = edge[:-1], edge[1:]
     big = hi - lo > 1
@@ -107,9 +108,14 @@ def walk(groups: np.ndarray, fps: np.ndarray, budget: int) -> tuple[np.ndarray,
         al, ah, bl, bh, err = (np.concatenate(x) for x in zip(*parts, strict=True))
         keep = (ah > al) & (bh > bl) & (err <= budget) & ~((al == bl) & (ah - al == 1))
         al, ah, bl, bh, err = (x[keep] for x in (al, ah, bl, bh, err))
-    if len(al):  # leaves: equal fingerprints never meet, each is there once
-        left.append(al)
-        right.append(bl)
+    if len(al):  # leaves: equal fingerprints on either side
+        width = bh - bl
+        pairs = (ah - al) * width
+        of = np.repeat(np.arange(len(al)), pairs)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+        i, j = al[of] + k // width[of], bl[of] + k % width[of]
+        left.append(i[i < j])
+        right.append(j[i < j])
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
