@@ -19,11 +19,9 @@ from pyspark.sql import functions as F
 from wardflow.llm._util import buckets, gather, lower_ascii, pieces, text_bytes, word_spans
 
 CHUNK_TEXT = 4 << 20
-#: Bytes of answers up to which they are broadcast to the chunks; beyond it the join shuffles.
-BROADCAST_BYTES = 64 << 20
 #: Words for each bucket at most, so that a bucket's task stays small.
 BUCKET_WORDS = 8_000_000
-#: A null doc_id sorts after all others.
+#: What a null doc_id sorts as; `missing` tells it from a real one.
 LAST = np.iinfo(np.int64).max
 
 CHUNK_SCHEMA = "chunk long, doc_ids array<bigint>, counts array<int>, codes binary, vocabulary binary, n_words long"
@@ -64,6 +62,7 @@ class Words:
     def __init__(self, row: dict):
         n = row["n_words"]
         self.doc_ids = np.array([LAST if x is None else x for x in row["doc_ids"]], np.int64)
+        self.missing = np.array([x is None for x in row["doc_ids"]], bool)
         self.counts = np.array(row["counts"], np.int64)
         self.ends = np.cumsum(self.counts)
         self.codes = np.frombuffer(unpacked(row["codes"]), np.int32) if n else np.zeros(0, np.int32)
@@ -72,6 +71,10 @@ class Words:
         self.word_hash = np.fromiter((digest(w) for w in self.vocabulary), np.uint64, len(self.vocabulary))
 
 
+def packed(values: np.ndarray) -> bytes:
+    return pa.compress(values.tobytes(), "zstd", asbytes=True) if len(values) else b""
+
+
 def unpacked(data: bytes) -> bytes:
     return pa.CompressedInputStream(pa.BufferReader(data), "zstd").read() if data else b""
 
@@ -95,9 +98,7 @@ def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 def answered(chunks: DataFrame, answers: DataFrame, name: str) -> DataFrame:
     """The chunks with their answers as an array column."""
-    size = answers.agg(F.sum(F.length("bits") + 64)).first()[0] or 0
-    by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
-    return chunks.join(F.broadcast(by_chunk) if size <= BROADCAST_BYTES else by_chunk.hint("merge"), "chunk", "left")
+    return chunks.join(answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias(name)), "chunk", "left")
 
 
 def bucket_count(chunks: DataFrame) -> int:

@@ -6,9 +6,10 @@ level after level until one is missing. The number of distinct words seen after
 probability is the Witten-Bell mix of the bigram estimate and the add-one unigram estimate:
 P(w | h) = (c(hw) + T(h) * P(w)) / (c(h) + T(h)), with exact c(h) and P(w).
 
-The filter is a segment for each hash bucket, sized by what the bucket holds. Segments of up to BROADCAST_FILTER bytes
-in all are broadcast to the workers; larger filters stay distributed and the probes travel to the segments, with the
-same answers. Unigram counts and context totals come back to each chunk for its own words only.
+The filter is a segment for each hash bucket, sized by what the bucket holds, and is always broadcast to the workers: in
+rounds, each of the segments of consecutive buckets that take up to BROADCAST_FILTER bytes together. Each probe belongs
+to one round, so more rounds mean more broadcasts, not more probes. Unigram counts and context totals come back to each
+chunk for its own words only.
 
 Words are told apart by 64 bits of one hash and the bucket of a second one.
 
@@ -27,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardflow.llm._chunks import CHUNK_TEXT, LAST, Words, answered, bucket_count, rows, runs, scaled, to_chunks
+from wardflow.llm._chunks import CHUNK_TEXT, Words, answered, bucket_count, packed, rows, runs, scaled, to_chunks, unpacked
 from wardflow.llm._util import Workspace, mix64
 
-#: Bytes of filter segments up to which they are broadcast to the workers.
+#: Bytes of filter segments that are broadcast to the workers at once, about (a larger segment is a round of its own).
 BROADCAST_FILTER = 192 << 20
 #: Hash functions for each level; a probe of something absent succeeds with about 2 ** -PROBES.
 PROBES = 7
@@ -42,48 +43,65 @@ _VALUE = np.r_[0.0, (_START[:-1] + _START[1:] - 1) / 2, float(_START[-1])]  # co
 _CONTEXT = np.uint64(0x5851F42D4C957F2D)
 
 
-def held_out(doc_ids: np.ndarray) -> np.ndarray:
-    return np.array([x != LAST and zlib.crc32(str(x).encode()) % HELD_OUT[0] == HELD_OUT[1] for x in doc_ids.tolist()], bool)
+def held_out(doc_ids: np.ndarray, missing: np.ndarray) -> np.ndarray:
+    return ~missing & np.array([zlib.crc32(str(x).encode()) % HELD_OUT[0] == HELD_OUT[1] for x in doc_ids.tolist()], bool)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(_START, counts, side="right")
 
 
-def _places(keys: np.ndarray, level: np.ndarray, probe: int, size: int) -> np.ndarray:
-    a = mix64(keys ^ (level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    return ((a + np.uint64(probe) * (mix64(a) | np.uint64(1))) % np.uint64(size)).astype(np.int64)
+_LOW = np.uint64(0xFFFFFFFF)
+
+
+def _mixed(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """First place and step of each key's probes for a level, as 32-bit fractions of a segment."""
+    a = mix64(keys ^ np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
+    return a >> np.uint64(32), (a & _LOW) | np.uint64(1)
+
+
+def _place(first: np.ndarray, step: np.ndarray, probe: int, size) -> np.ndarray:
+    return (((first + np.uint64(probe) * step) & _LOW) * size) >> np.uint64(32)
 
 
 def build(keys: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
-    """A filter segment: its number of bits, and the bits."""
+    """A filter segment: its number of bits (under 2 ** 32), and the bits."""
     level = levels(counts)
     size = max(64, int(np.ceil(level.sum() * BITS_PER_ENTRY)))
     mark = np.zeros(size, bool)
     for k in range(1, int(level.max(initial=0)) + 1):
-        some = keys[level >= k]
+        first, step = _mixed(keys[level >= k], k)
         for probe in range(PROBES):
-            mark[_places(some, np.full(len(some), k), probe, size)] = True
+            mark[_place(first, step, probe, np.uint64(size))] = True
     return size, np.packbits(mark, bitorder="little").tobytes()
 
 
-def read(segment: tuple[int, bytes], keys: np.ndarray) -> np.ndarray:
-    """The level of each key: probes go on while levels are found."""
-    size, data = segment
-    data = np.frombuffer(data, np.uint8)
-    level, alive = np.zeros(len(keys), np.uint8), np.arange(len(keys))
-    k = 0
-    while len(alive):
-        k += 1
-        for probe in range(PROBES):
-            at = _places(keys[alive], np.full(len(alive), k), probe, size)
-            alive = alive[(data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            if not len(alive):
-                break
-        level[alive] = k
-        if k == len(_START):
-            break
-    return level
+class Filter:
+    """Segments of some buckets, one after the other; others are empty."""
+
+    def __init__(self, n: int, segments: list[tuple[int, int, bytes]]):
+        self.size, self.start = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        at = 0
+        for bucket, size, data in segments:
+            self.size[bucket], self.start[bucket] = size, 8 * at
+            at += len(data)
+        self.data = np.frombuffer(b"".join(data for _, _, data in segments), np.uint8)
+
+    def read(self, bucket: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The level of each key in its bucket: probes go on while levels are found. Keys in bucket order stay in the cache."""
+        level, k = np.zeros(len(keys), np.uint8), 0
+        alive = np.flatnonzero(self.size[bucket] > 0)
+        size, start = self.size[bucket[alive]], self.start[bucket[alive]]
+        while len(alive) and k < len(_START):
+            k += 1
+            first, step = _mixed(keys[alive], k)
+            for probe in range(PROBES):
+                at = _place(first, step, probe, size) + start
+                hit = (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                if not hit.all():
+                    alive, first, step, size, start = alive[hit], first[hit], step[hit], size[hit], start[hit]
+            level[alive] = k
+        return level
 
 
 class Text(Words):
@@ -93,7 +111,7 @@ class Text(Words):
         super().__init__(row)
         self.end = len(self.vocabulary)
         self.word_hash = np.r_[self.word_hash, np.uint64(0xD1B54A32D192ED03)]
-        self.held = held_out(self.doc_ids)
+        self.held = held_out(self.doc_ids, self.missing)
         self.tokens = np.insert(self.codes.astype(np.int64), self.ends, self.end)
         self.n_tokens = self.counts + 1
         self.train = np.repeat(~self.held, self.n_tokens)
@@ -111,7 +129,7 @@ class Text(Words):
         got = {a["bucket"]: a["bits"] for a in row["totals"] or ()}
         self.c = np.zeros(len(order), np.int64)
         for b, i, j in runs(bucket):
-            self.c[order[i:j]] = np.frombuffer(got[b], np.int64)
+            self.c[order[i:j]] = np.frombuffer(unpacked(got[b]), np.int64)
 
     def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (context, word) codes and each token's place among them."""
@@ -131,12 +149,12 @@ class Text(Words):
 def _sum_words(table: pa.Table) -> pa.Table:
     """Unigrams of one bucket: total of each key to all chunks that hold it; sums for the whole bucket on its first row."""
     parts = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()])
+    counts = np.concatenate([np.frombuffer(unpacked(x), np.uint32) for x in table["counts"].to_pylist()])
     _, place = np.unique(np.concatenate(parts), return_inverse=True)
     total = np.bincount(place, weights=counts).astype(np.int64)
     split = np.split(total[place], np.cumsum([len(p) for p in parts])[:-1])
     rest = [0] * (len(parts) - 1)
-    return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "bits": pa.array([x.tobytes() for x in split], pa.binary()), "tokens": pa.array([int(total.sum()), *rest], pa.int64()), "distinct": pa.array([int((total > 0).sum()), *rest], pa.int64())})
+    return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "bits": pa.array([packed(x) for x in split], pa.binary()), "tokens": pa.array([int(total.sum()), *rest], pa.int64()), "distinct": pa.array([int((total > 0).sum()), *rest], pa.int64())})
 
 
 def _context_keys(h: np.ndarray) -> np.ndarray:
@@ -145,10 +163,11 @@ def _context_keys(h: np.ndarray) -> np.ndarray:
 
 def _segment(table: pa.Table) -> pa.Table:
     """The filter segment of one bucket, and the continuation counts of hot contexts as far as they lie here."""
-    context = np.concatenate([np.repeat(np.frombuffer(h, np.uint64), np.frombuffer(n, np.uint32)) for h, n in zip(table["contexts"].to_pylist(), table["sizes"].to_pylist(), strict=True)])
-    hot = np.concatenate([np.repeat(np.frombuffer(h, np.uint8), np.frombuffer(n, np.uint32)) for h, n in zip(table["hot"].to_pylist(), table["sizes"].to_pylist(), strict=True)]).astype(bool)
+    sizes = [np.frombuffer(unpacked(x), np.uint32) for x in table["sizes"].to_pylist()]
+    context = np.concatenate([np.repeat(np.frombuffer(h, np.uint64), n) for h, n in zip(table["contexts"].to_pylist(), sizes, strict=True)])
+    hot = np.concatenate([np.repeat(np.frombuffer(unpacked(h), np.uint8), n) for h, n in zip(table["hot"].to_pylist(), sizes, strict=True)]).astype(bool)
     keys = np.concatenate([np.frombuffer(x, np.uint32) for x in table["keys"].to_pylist()]).astype(np.uint64)
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()]).astype(np.int64)
+    counts = np.concatenate([np.frombuffer(unpacked(x), np.uint32) for x in table["counts"].to_pylist()]).astype(np.int64)
     names, which = np.unique(context, return_inverse=True)
     pair, place = np.unique(which.astype(np.uint64) << np.uint64(32) | keys, return_inverse=True)
     total = np.bincount(place, weights=counts).astype(np.int64)
@@ -163,15 +182,6 @@ def _segment(table: pa.Table) -> pa.Table:
     return pa.table({"bucket": table["bucket"].slice(0, 1), "size": pa.array([size], pa.int64()), "data": pa.array([data], pa.binary()), "hot_contexts": pa.array([names[is_hot].view(np.int64)], pa.list_(pa.int64())), "hot_follow": pa.array([follow[is_hot].astype(np.int64)], pa.list_(pa.int64()))})
 
 
-def _probe_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Probes that came to a segment: levels of the bigrams, then of the contexts."""
-    for row in rows(batches):
-        segment = (row["size"], row["data"])
-        level = read(segment, np.frombuffer(row["keys"], np.uint32).astype(np.uint64)) if row["size"] else np.zeros(len(row["keys"]) // 4, np.uint8)
-        context = read(segment, np.frombuffer(row["contexts"], np.uint64)) if row["size"] else np.zeros(len(row["contexts"]) // 8, np.uint8)
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array([row["chunk"]], pa.int64()), "bucket": pa.array([row["bucket"]], pa.int64()), "bits": pa.array([level.tobytes() + context.tobytes()], pa.binary())})
-
-
 class Probes:
     """What a chunk asks of the filter: its bigrams whose two words are known, and its known contexts, bucket by bucket."""
 
@@ -188,18 +198,21 @@ class Probes:
         self.names, self.at = self.names[order], at[order]
         self.name_keys = _context_keys(text.word_hash[self.names])
 
-    def __iter__(self) -> Iterator[tuple[int, slice, slice]]:
-        """(bucket, its bigrams, its contexts)."""
-        mine, theirs = ({b: slice(i, j) for b, i, j in runs(x)} for x in (self.bucket, self.at))
-        for b in sorted(mine.keys() | theirs.keys()):
-            yield b, mine.get(b, slice(0, 0)), theirs.get(b, slice(0, 0))
+    def parts(self, low: int, high: int) -> tuple[slice, slice]:
+        """Its bigrams and its contexts in buckets [low, high)."""
+        return (slice(*np.searchsorted(x, (low, high)).tolist()) for x in (self.bucket, self.at))
+
+    def levels(self, filters: Filter, low: int, high: int) -> np.ndarray:
+        """Levels of the bigrams, then of the contexts, in buckets [low, high)."""
+        mine, theirs = self.parts(low, high)
+        return np.r_[filters.read(self.bucket[mine], self.key[mine].astype(np.uint64)), filters.read(self.at[theirs], self.name_keys[theirs])]
 
-    def score(self, answers, follow: dict[int, int], tokens: int, distinct: int) -> pa.RecordBatch:
-        """answers: bucket to the levels of its bigrams, then contexts. follow: continuation counts of hot contexts."""
+    def score(self, answers: list[tuple[int, int, np.ndarray]], follow: dict[int, int], tokens: int, distinct: int) -> pa.RecordBatch:
+        """answers: (low, high, levels) of each round. follow: continuation counts of hot contexts."""
         text = self.text
         c_pair, t = np.zeros(len(self.context)), np.zeros(len(text.c))
-        for b, mine, theirs in self:
-            got = answers(b, mine, theirs)
+        for low, high, got in answers:
+            mine, theirs = self.parts(low, high)
             k = mine.stop - mine.start
             c_pair[self.asked[mine]] = _VALUE[got[:k]]
             t[self.names[theirs]] = _VALUE[got[k:]]
@@ -213,7 +226,7 @@ class Probes:
         h = self.context
         p = np.where(c[h] > 0, (c_pair + t[h] * unigram[self.word]) / np.maximum(c[h] + t[h], 1), unigram[self.word])
         add = lambda x: np.add.reduceat(x, text.first)
-        ids = [None if x == LAST else x for x in text.doc_ids.tolist()]
+        ids = [None if gone else x for x, gone in zip(text.doc_ids.tolist(), text.missing.tolist(), strict=True)]
         return pa.RecordBatch.from_pydict(
             {
                 "doc_id": pa.array(ids, pa.int64()),
@@ -227,6 +240,17 @@ class Probes:
         )
 
 
+def rounds(sizes: dict[int, int], n: int, most: int) -> list[tuple[int, int]]:
+    """Ranges [low, high) of buckets 0..n whose segments take up to `most` bytes each, or hold one bucket."""
+    out, low, held = [], 0, 0
+    for b in range(n):
+        if b > low and held + sizes.get(b, 0) > most:
+            out.append((low, b))
+            low, held = b, 0
+        held += sizes.get(b, 0)
+    return [*out, (low, n)]
+
+
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -242,7 +266,7 @@ def score(docs: DataFrame, space: Workspace, chunk_text: int = CHUNK_TEXT, broad
             order, bucket = text.word_order(n)
             counts = np.bincount(text.tokens[text.train], minlength=len(order)).astype(np.uint32)[order]
             keys, held = text.word_hash[order], list(runs(bucket))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _, _ in held], pa.int64()), "chunk": pa.array([row["chunk"]] * len(held), pa.int64()), "keys": pa.array([keys[i:j].tobytes() for _, i, j in held], pa.binary()), "counts": pa.array([counts[i:j].tobytes() for _, i, j in held], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _, _ in held], pa.int64()), "chunk": pa.array([row["chunk"]] * len(held), pa.int64()), "keys": pa.array([keys[i:j].tobytes() for _, i, j in held], pa.binary()), "counts": pa.array([packed(counts[i:j]) for _, i, j in held], pa.binary())})
 
     sent = chunks.mapInArrow(send_words, "bucket long, chunk long, keys binary, counts binary")
     totals = space.save(sent.groupBy("bucket").applyInArrow(_sum_words, "chunk long, bucket long, bits binary, tokens long, distinct long"), "totals")
@@ -268,7 +292,7 @@ def score(docs: DataFrame, space: Workspace, chunk_text: int = CHUNK_TEXT, broad
             for b, i, j in runs(bucket):
                 edge = np.flatnonzero(np.r_[True, context[i:j][1:] != context[i:j][:-1], True])
                 names = context[i:j][edge[:-1]]
-                for k, v in zip(out, (b, row["chunk"], text.word_hash[names].tobytes(), np.diff(edge).astype(np.uint32).tobytes(), (text.c[names] > hot).astype(np.uint8).tobytes(), key[i:j].tobytes(), counts[i:j].tobytes()), strict=True):
+                for k, v in zip(out, (b, row["chunk"], text.word_hash[names].tobytes(), packed(np.diff(edge).astype(np.uint32)), packed((text.c[names] > hot).astype(np.uint8)), key[i:j].tobytes(), packed(counts[i:j])), strict=True):
                     out[k].append(v)
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64() if k in ("bucket", "chunk") else pa.binary()) for k, v in out.items()})
 
@@ -276,45 +300,57 @@ def score(docs: DataFrame, space: Workspace, chunk_text: int = CHUNK_TEXT, broad
     segments = space.save(sent.groupBy("bucket").applyInArrow(_segment, "bucket long, size long, data binary, hot_contexts array<bigint>, hot_follow array<bigint>"), "segments")
     # a hot context holds over 1 / (4 n) of all tokens, so there are under 4 n of them
     follow = {r.h: r.t for r in segments.select(F.explode(F.arrays_zip("hot_contexts", "hot_follow")).alias("x")).groupBy(F.col("x.hot_contexts").alias("h")).agg(F.sum("x.hot_follow").alias("t")).collect()}
-    filter_bytes = segments.agg(F.sum(F.length("data"))).first()[0] or 0
-    if filter_bytes <= broadcast_filter:
-        everywhere = spark.sparkContext.broadcast({r.bucket: (r.size, bytes(r.data)) for r in segments.select("bucket", "size", "data").toLocalIterator()})
+    lengths = segments.select("bucket", F.length("data").alias("n")).collect()  # one small row for each bucket
+    cuts = rounds({r.bucket: r.n for r in lengths}, n, broadcast_filter)
 
-        def from_broadcast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filters = everywhere.value
-            for row in rows(batches):
-                text = Text(row)
-                text.take_totals(row, n)
-                probes = Probes(text, n, hot)
+    def in_round(low: int, high: int):
+        """The filter of buckets [low, high), broadcast."""
+        held = [(r.bucket, r.size, bytes(r.data)) for r in segments.where((F.col("bucket") >= low) & (F.col("bucket") < high)).select("bucket", "size", "data").toLocalIterator()]
+        return spark.sparkContext.broadcast(Filter(n, held))
 
-                def levels_of(b: int, mine: slice, theirs: slice, probes: Probes = probes) -> np.ndarray:
-                    if b not in filters:
-                        return np.zeros(mine.stop - mine.start + theirs.stop - theirs.start, np.uint8)
-                    return read(filters[b], np.r_[probes.key[mine].astype(np.uint64), probes.name_keys[theirs]])
+    def probes_of(row: dict) -> Probes:
+        text = Text(row)
+        text.take_totals(row, n)
+        return Probes(text, n, hot)
 
-                yield probes.score(levels_of, follow, tokens, distinct)
+    if len(cuts) == 1:  # the levels are used where they are read
+        (low, high), everywhere = cuts[0], in_round(*cuts[0])
 
-        return counted.mapInArrow(from_broadcast, OUT)
+        def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in rows(batches):
+                probes = probes_of(row)
+                yield probes.score([(low, high, probes.levels(everywhere.value, low, high))], follow, tokens, distinct)
+
+        return counted.mapInArrow(at_once, OUT)
 
-    def send_probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows(batches):
-            text = Text(row)
-            text.take_totals(row, n)
-            probes = Probes(text, n, hot)
-            out: dict[str, list] = {k: [] for k in ("bucket", "chunk", "keys", "contexts")}
-            for b, mine, theirs in probes:
-                for k, v in zip(out, (b, row["chunk"], probes.key[mine].tobytes(), probes.name_keys[theirs].tobytes()), strict=True):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64() if k in ("bucket", "chunk") else pa.binary()) for k, v in out.items()})
+            probes = probes_of(row)
+            out: dict[str, list] = {k: [] for k in ("round", "chunk", "buckets", "keys", "at", "names")}
+            for k, (low, high) in enumerate(cuts):
+                mine, theirs = probes.parts(low, high)
+                for name, v in zip(out, (k, row["chunk"], packed(probes.bucket[mine]), probes.key[mine].tobytes(), packed(probes.at[theirs]), probes.name_keys[theirs].tobytes()), strict=True):
+                    out[name].append(v)
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64() if k in ("round", "chunk") else pa.binary()) for k, v in out.items()})
+
+    questions = space.save(counted.mapInArrow(asked, "round long, chunk long, buckets binary, keys binary, at binary, names binary"), "asked", "round")
+    found = None
+    for k, (low, high) in enumerate(cuts):
+        everywhere = in_round(low, high)
+
+        def answer(batches: Iterator[pa.RecordBatch], everywhere=everywhere) -> Iterator[pa.RecordBatch]:
+            for row in rows(batches):
+                bigrams = everywhere.value.read(np.frombuffer(unpacked(row["buckets"]), np.int64), np.frombuffer(row["keys"], np.uint32).astype(np.uint64))
+                contexts = everywhere.value.read(np.frombuffer(unpacked(row["at"]), np.int64), np.frombuffer(row["names"], np.uint64))
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([row["chunk"]], pa.int64()), "bucket": pa.array([row["round"]], pa.int64()), "bits": pa.array([packed(np.r_[bigrams, contexts])], pa.binary())})
+
+        got = space.save(questions.where(F.col("round") == k).mapInArrow(answer, "chunk long, bucket long, bits binary"), f"levels-{k}")
+        everywhere.unpersist()
+        found = got if found is None else found.unionByName(got)
 
     def from_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows(batches):
-            text = Text(row)
-            text.take_totals(row, n)
-            got = {a["bucket"]: a["bits"] for a in row["levels"] or ()}
-            yield Probes(text, n, hot).score(lambda b, mine, theirs, got=got: np.frombuffer(got[b], np.uint8), follow, tokens, distinct)
+            got = [(*cuts[a["bucket"]], np.frombuffer(unpacked(a["bits"]), np.uint8)) for a in row["levels"] or ()]
+            yield probes_of(row).score(got, follow, tokens, distinct)
 
-    probes = counted.mapInArrow(send_probes, "bucket long, chunk long, keys binary, contexts binary")
-    met = probes.join(segments.select("bucket", "size", "data").hint("merge"), "bucket", "left").select("chunk", "bucket", "keys", "contexts", F.coalesce("size", F.lit(0)).cast("long").alias("size"), F.coalesce("data", F.lit(b"")).alias("data"))
-    levels_found = space.save(met.mapInArrow(_probe_rows, "chunk long, bucket long, bits binary"), "levels")
-    return answered(counted, levels_found, "levels").mapInArrow(from_answers, OUT)
+    return answered(counted, found, "levels").mapInArrow(from_answers, OUT)
