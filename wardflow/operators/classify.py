@@ -277,3 +277,48 @@ def searches(spark, sf_dir):
     c = table(spark, sf_dir, "customer").withColumns({"phone": phone_digits(F.lpad(F.col("c_custkey").cast("string"), 11, "0")), "born": F.lit(None).cast("date"), "email": F.lit(None).cast("string")})
     found = [F.when(search_predicate(t, "c_custkey", "born", "phone", "email", "c_name"), F.lit(t)) for t in ("07 12", "Customer 11", "0000 00012")]
     return c.select("c_custkey", F.explode(F.array_compact(F.array(*found))).alias("search"))
+
+
+def condition_refs(text: Column) -> Column:
+    """Numbers of the questions that a printed condition names ('If yes to question 3 or 4'), each once in order; an empty
+    array for a condition on the question before it."""
+    named = F.regexp_extract(F.lower(text), r"\b(?:questions?|q)\s*(\d{1,2}(?:\s*(?:,|and|or|&)?\s*\d{1,2})*)", 1)
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(named, F.lit(r"(\d{1,2})"), F.lit(1)), lambda x: x.cast("int"))))
+
+
+def judged(answer: Column, wants: Column) -> Column:
+    """Whether an answer is what a condition wants; null for a blank one, but a condition on a filled answer refuses it."""
+    low = F.lower(F.trim(answer))
+    blank = F.coalesce(low == "", F.lit(True))
+    return F.when(wants == "filled", ~blank).when(blank, None).when(wants == "yes", low.isin("yes", "y", "true")).when(wants == "no", low.isin("no", "n", "false")).otherwise(low.startswith("other"))
+
+
+def evaluate_conditions(conditions: DataFrame, answers: DataFrame) -> DataFrame:
+    """(form, applies) for conditions (form, question, text) over answers (form, question, answer): true, false, or null while
+    it is open. A condition that can't be read stays open; a question without an answer is a blank one."""
+    read = conditions.select("form", "question", condition_of(F.col("text")).alias("c"), condition_refs(F.col("text")).alias("refs"))
+    asked = read.select("form", "c", F.explode(F.when(F.size("refs") > 0, F.col("refs")).otherwise(F.array((F.col("question") - 1).cast("int")))).alias("question"))
+    met = asked.join(answers.select("form", F.col("question").cast("int").alias("question"), "answer"), ["form", "question"], "left")
+    found = met.withColumn("right", judged(F.col("answer"), F.col("c.wants")))
+    some, every, known = F.bool_or("right"), F.bool_and("right"), F.count("right") == F.count(F.lit(1))
+    each = F.first("c.match", ignorenulls=True)
+    applies_ = F.when(each == "any", F.when(some, True).when(known, False)).when(each == "all", F.when(~every, False).when(known, True))
+    return found.groupBy("form").agg(applies_.alias("applies"))
+
+
+_CONDITIONS = ("If yes, give details", "If yes to questions 1 or 3", "If no to both questions 2 and 3", "If other, say which", "If stated in question 4", "Details", "If YES to each of questions 1, 2 & 3", "If no to question 9")
+
+
+@query(f"""WITH f AS (SELECT o_orderkey AS form, lower(([{", ".join(map(repr, _CONDITIONS))}])[CAST(o_orderkey // 3 % {len(_CONDITIONS)} + 1 AS INTEGER)]) AS t FROM orders),
+r AS (SELECT form, CASE WHEN regexp_matches(t, '^if other') THEN 'other' WHEN regexp_matches(t, '^if no\\b') THEN 'no' WHEN regexp_matches(t, '^if yes') THEN 'yes' WHEN regexp_matches(t, '^if stated') THEN 'filled' END AS wants, CASE WHEN regexp_matches(t, '\\b(all|both|each)\\b') THEN 'all' ELSE 'any' END AS match,
+unnest(CASE WHEN regexp_matches(t, 'questions? [0-9]') THEN list_distinct(list_transform(regexp_extract_all(t, '[0-9]+'), lambda x: CAST(x AS INTEGER))) ELSE [4] END) AS q FROM f),
+a AS (SELECT r.*, CASE l_returnflag WHEN 'A' THEN 'yes' WHEN 'R' THEN CASE WHEN l_linenumber = 4 THEN 'other: gp' ELSE 'no' END WHEN 'N' THEN '' END AS answer FROM r LEFT JOIN lineitem ON l_orderkey = form AND l_linenumber = q),
+j AS (SELECT form, match, wants, CASE WHEN wants = 'filled' THEN coalesce(answer, '') <> '' WHEN coalesce(answer, '') = '' THEN NULL WHEN wants = 'other' THEN starts_with(answer, 'other') ELSE answer = wants END AS ok FROM a)
+SELECT form, CASE WHEN any_value(wants) IS NULL THEN NULL WHEN any_value(match) = 'any' THEN CASE WHEN bool_or(ok) THEN true WHEN count(ok) = count(*) THEN false END ELSE CASE WHEN NOT bool_and(ok) THEN false WHEN count(ok) = count(*) THEN true END END AS applies FROM j GROUP BY form""")
+def conditions_applied(spark, sf_dir):
+    """Printed conditions before question 5 of each form, over the answers to its questions."""
+    text = F.element_at(F.array(*map(F.lit, _CONDITIONS)), (F.floor(F.col("o_orderkey") / 3) % len(_CONDITIONS) + 1).cast("int"))
+    forms = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("form"), F.lit(5).alias("question"), text.alias("text"))
+    said = F.when(F.col("l_returnflag") == "A", "Yes").when(F.col("l_returnflag") == "R", F.when(F.col("l_linenumber") == 4, "Other: GP").otherwise("no")).otherwise(" ")
+    answers = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("form"), F.col("l_linenumber").alias("question"), said.alias("answer"))
+    return evaluate_conditions(forms, answers)

@@ -90,7 +90,15 @@ def match_courses(visits: DataFrame, courses: DataFrame) -> DataFrame:
     return rows.repartition("patient_id").sortWithinPartitions("patient_id", "day", "kind", "id").mapInArrow(greedy, "patient_id long, visit_id long, course_id long")
 
 
-@query()
+_GREEDY = sql("appts", """, v AS (SELECT patient_id, appointment_id AS visit_id, day, row_number() OVER (PARTITION BY patient_id ORDER BY day, appointment_id) AS r FROM appts WHERE outcome = 'attended'),
+c AS (SELECT patient_id, list({'e': day + 9, 'id': appointment_id, 's': day} ORDER BY day + 9, appointment_id) AS cs FROM appts WHERE status = 'booked' GROUP BY 1),
+s AS (SELECT v.patient_id, CAST(0 AS BIGINT) AS r, list_transform(range(coalesce(len(cs), 0)), lambda i: CAST(3 AS BIGINT)) AS rest, CAST(NULL AS BIGINT) AS visit_id, CAST(NULL AS BIGINT) AS course_id FROM (SELECT DISTINCT patient_id FROM v) v LEFT JOIN c USING (patient_id)
+UNION ALL SELECT patient_id, r, list_transform(range(1, len(rest) + 1), lambda i: rest[i] - CASE WHEN i = k THEN 1 ELSE 0 END), visit_id, cs[k].id
+FROM (SELECT s.patient_id, v.r, s.rest, v.visit_id, c.cs, list_filter(range(1, len(s.rest) + 1), lambda i: s.rest[i] > 0 AND c.cs[i].s <= v.day AND v.day <= c.cs[i].e)[1] AS k FROM s JOIN v ON v.patient_id = s.patient_id AND v.r = s.r + 1 LEFT JOIN c ON c.patient_id = s.patient_id))
+SELECT patient_id, visit_id, course_id FROM s WHERE r > 0""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_GREEDY)
 def greedy_courses(spark, sf_dir):
     """Attended visits against courses: every signup starts one of 3 sessions that lasts 10 days."""
     a = appointments(spark, sf_dir)

@@ -57,10 +57,10 @@ def having_owes(spark, sf_dir):
 
 @query("SELECT c_custkey, coalesce(n_name, 'Unknown site') AS site, coalesce(r_name, 'No region') AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey < 20 LEFT JOIN region ON n_regionkey = r_regionkey")
 def left_join_directory(spark, sf_dir):
-    """Names of a directory of fixed size (nations and regions), with words for what is missing."""
+    """Names of a directory (nations and regions), with words for what is missing; the planner broadcasts it as long as it is small."""
     n, r = table(spark, sf_dir, "nation").where("n_nationkey < 20"), table(spark, sf_dir, "region")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    out = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    out = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return out.select("c_custkey", F.coalesce("n_name", F.lit("Unknown site")).alias("site"), F.coalesce("r_name", F.lit("No region")).alias("region"))
 
 

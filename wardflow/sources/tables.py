@@ -58,7 +58,7 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = pence(F.col("o_totalprice"))
     paid = F.when(F.col("o_orderstatus") == "F", total).when(F.col("o_orderstatus") == "P", (total / 2).cast("long")).otherwise(F.lit(0).cast("long"))
     rows = o.select("o_custkey", F.col("o_orderkey").alias("invoice_id"), F.to_date("o_orderdate").alias("issued_on"), F.date_add(F.to_date("o_orderdate"), 30).alias("due_on"), total.alias("total_pence"), paid.alias("paid_pence"))
-    who = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "left").select(F.col("c_custkey").alias("patient_id"), coded(F.col("c_mktsegment"), PAYERS).alias("payer_type"), F.col("n_regionkey").alias("site_id"))
+    who = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(F.col("c_custkey").alias("patient_id"), coded(F.col("c_mktsegment"), PAYERS).alias("payer_type"), F.col("n_regionkey").alias("site_id"))
     return rows.join(who, F.col("o_custkey") == F.col("patient_id"), "left").select("invoice_id", F.col("o_custkey").alias("patient_id"), "payer_type", "site_id", "issued_on", "due_on", "total_pence", "paid_pence", (F.col("total_pence") - F.col("paid_pence")).alias("balance_pence"))
 
 

@@ -93,13 +93,14 @@ def sessions(spark, sf_dir):
     return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("hits").alias("longest"))
 
 
-@query()
+@query("SELECT epoch_us(ts) // 600000000 * 600 AS window_s, user_id, count(*) AS hits FROM events GROUP BY 1, 2 HAVING (epoch_us(any_value(ts)) // 600000000 + 1) * 600000000 <= (SELECT max(epoch_us(ts)) FROM events) - 7200000000")
 def stream_rate_limit_windows(spark, sf_dir):
     """Windows that the watermark has closed."""
     return run_to_end(rate_windows(events(spark, sf_dir, stream=True).withWatermark("at", LATE)), shared_folder(spark))
 
 
-@query()
+@query("SELECT DISTINCT event_id, user_id, event_type FROM events")
 def stream_event_dedupe(spark, sf_dir):
+    """Each event once, by a stream that forgets ids behind its watermark."""
     e = events(spark, sf_dir, stream=True).withWatermark("at", LATE)
     return run_to_end(unique_events(e).select("event_id", "user_id", "event_type"), shared_folder(spark))

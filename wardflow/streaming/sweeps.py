@@ -26,15 +26,18 @@ def not_queued(items: DataFrame, queue: DataFrame, item_id: str) -> DataFrame:
     return items.dropDuplicates([item_id]).join(queue.select(item_id), item_id, "left_anti")
 
 
-def queue_stream(items: DataFrame, item_id: str, path: str, checkpoint: str) -> None:
-    """Takes what a stream of items holds now into a Parquet queue, each id once. A batch that is run again after a lost
-    driver finds its own ids there and adds none."""
+def queue_stream(items: DataFrame, item_id: str, day: str, path: str, checkpoint: str) -> None:
+    """Takes what a stream of items holds now into a Parquet queue, each id of a day once. The queue has a folder for each
+    day, and a batch reads those of its own days only. A batch that is run again after a lost driver finds its own ids there
+    and adds none."""
     spark, schema = items.sparkSession, items.schema
 
     def take(batch: DataFrame, _: int) -> None:
-        not_queued(batch, spark.read.schema(schema).parquet(path), item_id).write.mode("append").parquet(path)
+        days = [r[0] for r in batch.select(day).distinct().collect()]
+        held = spark.read.schema(schema).parquet(path).where(F.col(day).isin(days))
+        not_queued(batch, held, item_id).write.mode("append").partitionBy(day).parquet(path)
 
-    spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy(day).parquet(path)
     items.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
@@ -80,13 +83,13 @@ def queued_once(spark, sf_dir):
     return not_queued(due.unionByName(due), i.where("invoice_id % 4 = 0"), "item_id")
 
 
-@query()
+@query("SELECT event_id, user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'view'")
 def stream_queued_once(spark, sf_dir):
     """The queue after two runs over the same events: each visit once."""
     at = f"{shared_folder(spark)}/queue-{uuid.uuid4().hex}"
-    items = events(spark, sf_dir, stream=True).where("event_type = 'view'").select("event_id", "user_id")
+    items = events(spark, sf_dir, stream=True).where("event_type = 'view'").select("event_id", "user_id", F.to_date("at").alias("day"))
     for run in "ab":
-        queue_stream(items, "event_id", f"{at}/out", f"{at}/checkpoint-{run}")
+        queue_stream(items, "event_id", "day", f"{at}/out", f"{at}/checkpoint-{run}")
     return spark.read.schema(items.schema).parquet(f"{at}/out")
 
 
