@@ -10,7 +10,7 @@ from wardflow.llm import surrogates
     [("Η Ελένη Παπαδοπούλου έγραψε.", "Παπαδοπούλου"), ("Вчера Анна Иванова писала.", "Иванова"), ('the password = "correcthorse" is old', "correcthorse"), ('the API_KEY: "correcthorse" is old', "correcthorse"), ("Anna Weber wrote.", "Weber")],
 )
 def test_texts_without_digits_are_searched(text, part, spark, space):
-    (row,) = surrogates.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), space).collect()
+    (row,) = surrogates.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), space, b"test key").collect()
     assert row.n_entities and part not in row.text
 
 
@@ -31,3 +31,71 @@ def test_texts_without_digits_are_searched(text, part, spark, space):
 )
 def test_numbers_side_by_side(text, want):
     assert [e[3] for e in surrogates.entities(text)] == want
+
+
+#: Four languages, three scripts: a text and, by kind, what must not stay in it.
+LABELLED = [
+    ("My name is Priya Raman and I live here.", {"name": ["Priya", "Raman"]}),
+    ("Please write to Wei Zhang <wei.zhang@mail.example.com> today.", {"name": ["Wei", "Zhang"], "mail": ["wei.zhang@"]}),
+    ("Frau Müller kam. Müller ging wieder.", {"name": ["Müller"]}),
+    ("Ansprechpartner: Jens Okafor, Tel. 02079460958", {"name": ["Jens", "Okafor"], "phone": ["02079460958"]}),
+    ("Je m'appelle Aya Benali; Benali signe ici.", {"name": ["Aya", "Benali"]}),
+    ("Monsieur Dupont paie par carte 4111-1111-1111-1111.", {"name": ["Dupont"], "card": ["4111-1111"]}),
+    ("Me llamo Itziar Goñi y mi IP es 192.168.10.77.", {"name": ["Itziar", "Goñi"], "ip": ["192.168.10.77"]}),
+    ("La Señora García llamó al +34 912 345 678.", {"name": ["García"], "phone": ["912 345 678"]}),
+    ('password: "hunterabcxyz" Анна Петрова пришла. Петрова ушла.', {"name": ["Анна", "Петрова"], "secret": ["hunterabcxyz"]}),
+    ("Меня зовут Зоя Лебедева.", {"name": ["Зоя", "Лебедева"]}),
+    ("Η Ελένη Παπαδοπούλου έγραψε. Με λένε Φωτεινή Λάμπρου.", {"name": ["Ελένη", "Παπαδοπούλου", "Φωτεινή", "Λάμπρου"]}),
+    ("password=hunter2secret and token: abc123 in the log", {"secret": ["hunter2secret", "abc123"]}),
+    ("api_key = ZX81QWERTYUI, see below", {"secret": ["ZX81QWERTYUI"]}),
+    ("IBAN DE89 3704 0044 0532 0130 00, SSN 123-45-6789", {"account": ["3704 0044"], "social": ["123-45-6789"]}),
+    ("Hans Weber schrieb; später rief Weber an: (030) 1234 5678.", {"name": ["Hans", "Weber"], "phone": ["1234 5678"]}),
+]
+
+
+def test_recall_by_kind(spark, space):
+    docs = spark.createDataFrame(list(enumerate(t for t, _ in LABELLED)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in surrogates.pseudonymise(docs, space, b"test key").collect()}
+    hit, all_ = {}, {}
+    for i, (_, kinds) in enumerate(LABELLED):
+        for kind, values in kinds.items():
+            for v in values:
+                all_[kind] = all_.get(kind, 0) + 1
+                hit[kind] = hit.get(kind, 0) + (v not in got[i])
+    assert {k: hit[k] / all_[k] for k in all_ if hit[k] < 0.9 * all_[k]} == {}
+
+
+def test_plain_words_stay(spark, space):
+    texts = ["The secret: everything is fine in the old town.", "Order 20240115 has 12 items; see page 3.", "Many Thanks for the token of your love.", "Version 1.2.3 of the password manager", "Wilhelmshaven and Mariatorp are towns."]
+    got = surrogates.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), space, b"test key").collect()
+    assert sorted(r.text for r in got) == sorted(texts)
+
+
+def test_all_documents_keep_distinctness_and_coreference(spark, sf, space):
+    """Over all supplied documents: equal values get equal surrogates, unequal ones unequal, and no found value stays."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    new, old = {}, {}
+    for r in surrogates.pseudonymise(docs, space, b"test key").collect():
+        text, out = before[r.doc_id] or "", r.text or ""
+        found = surrogates.entities(text)
+        assert r.n_entities == len(found)
+        at = shift = 0
+        for k, (a, b, kind, value) in enumerate(found):
+            assert out[at + shift : a + shift] == text[at:a]
+            then = found[k + 1][0] if k + 1 < len(found) else len(text)
+            follows = text[b:then]
+            end = out.index(follows, a + shift) if follows else (len(out) if k + 1 == len(found) else a + shift + len(value))
+            role = kind if kind.startswith("name:") else kind
+            made = out[a + shift : end]
+            assert new.setdefault((role, value), made) == made
+            assert old.setdefault((role, made), value) == value
+            shift, at = end - b, b
+    assert len(new) > 15 and not any(v == m for (_, v), m in new.items())
+
+
+def test_other_key_other_surrogates():
+    one, two = surrogates.Keyed(b"one"), surrogates.Keyed(b"two")
+    assert one.surrogate("phone", "+44 20 7946 0958") != two.surrogate("phone", "+44 20 7946 0958")
+    with pytest.raises(ValueError):
+        surrogates.Keyed(b"")

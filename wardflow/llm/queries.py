@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,8 +48,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The key that the session holds in spark.wardflow.surrogateKey; where it is unset, a new one that nobody keeps."""
+    return spark.conf.get("spark.wardflow.surrogateKey", "").encode() or secrets.token_bytes(32)
+
+
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.pseudonymise(_table(spark, sf_dir, "documents"), Workspace(spark))
+    return surrogates.pseudonymise(_table(spark, sf_dir, "documents"), Workspace(spark), surrogate_key(spark))
 
 
 def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
