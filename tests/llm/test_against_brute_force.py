@@ -59,7 +59,7 @@ def test_token_ids(docs, space):
         start += r.n_tokens
 
 
-@pytest.mark.parametrize("broadcast", [lm_scoring.BROADCAST_FILTER, 0])
+@pytest.mark.parametrize("broadcast", [lm_scoring.BROADCAST_FILTER, 20_000])
 def test_lm_scoring(docs, space, broadcast):
     got = lm_scoring.score(docs, space, chunk_text=100_000, broadcast_filter=broadcast).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
@@ -243,18 +243,23 @@ def test_mixing(docs, space, spark):
             free.remove(s)
     by_source = docs.select("doc_id", "source", "text").collect()
     assert Counter((r.doc_id, r.size, r.source_size) for r in got) == Counter((r.doc_id, len(words(r.text)), sizes[r.source]) for r in by_source)
-    taken, wanted = sum(r.taken for r in got), sum(target.values())
-    assert abs(taken - wanted) <= mixing.BLOCK * 2 * len(sizes)
-    assert all(r.taken <= 2 * r.size for r in got)
-    for r in got:
-        assert any(r.source_size == sizes[s] and r.target == pytest.approx(target[s]) for s in sizes)
+    of, taken = {}, defaultdict(int)
+    for r in by_source:
+        of.setdefault((r.doc_id, len(words(r.text))), set()).add(r.source)
+    for r in got:  # a document's rows are told apart by source where its id is shared
+        (source,) = {s for s in of[r.doc_id, r.size] if sizes[s] == r.source_size and r.target == pytest.approx(target[s])}
+        taken[source] += r.taken
+        assert 0 <= r.taken <= 2 * r.size
+    for s in sizes:  # half a block of its own length by rounding, and one as the last block of a source may be short
+        block = min(mixing.BLOCK, max(1, -(-sizes[s] // mixing.LEAST_BLOCKS)))
+        assert abs(taken[s] - target[s]) <= 1.5 * block, s
     again = mixing.mix_summary(docs.repartition(3), Workspace(spark)).collect()
     assert Counter(again) == Counter(got)
 
 
 def test_mixed_documents(docs, space, spark):
     mixed = mixing.mixed_documents(docs, space)
-    assert mixed.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert mixed.columns == docs.columns
     total = sum(len(words(r.text)) for r in mixed.collect())
     assert total == sum(r.taken for r in mixing.mix_summary(docs, Workspace(spark)).collect())
 
@@ -278,7 +283,7 @@ def test_rule_ensemble_on_tricky_rows(tricky, spark, space, sf):
 
 
 def test_surrogates(tricky, space):
-    got = {r.doc_id: r for r in surrogates.pseudonymise(tricky, space).collect()}
+    got = {r.doc_id: r for r in surrogates.pseudonymise(tricky, space, b"test key").collect()}
     assert len(got[3].kinds) == 0 and got[3].text is None and got[4].text == ""
     a, b = got[12].text, got[13].text
     for secret in ("Anna", "Weber", "anna.weber", "10.1.2.3", "7946 0958", "4111 1111"):
@@ -295,14 +300,14 @@ def test_surrogates(tricky, space):
 def test_surrogates_are_distinct(spark, space):
     names = [f"Mr {a}{b}{c}son" for a in "BCDFG" for b in "aeiou" for c in ("nder", "lber", "rten", "mpel", "sser", "gger")]
     docs = spark.createDataFrame([(i, f"I met {n} today.") for i, n in enumerate(names)], "doc_id long, text string")
-    got = [r.text for r in surrogates.pseudonymise(docs, space).collect()]
+    got = [r.text for r in surrogates.pseudonymise(docs, space, b"test key").collect()]
     assert len(set(got)) == len(names)
     assert not {re.search(r"Mr (\w+)", t)[1] for t in got} & {n[3:] for n in names}
 
 
 @pytest.mark.parametrize("kind, values", [("ip", [f"10.0.{i}.{j}" for i in range(20) for j in range(20)]), ("phone", [f"+44 20 7946 {i:04d}" for i in range(500)]), ("card", ["4111 1111 1111 1111", "5500-0000-0000-0004"])])
 def test_surrogates_never_collide(kind, values):
-    assert len({surrogates.surrogate(kind, v) for v in values}) == len(values)
+    assert len({surrogates.Keyed(b"test key").surrogate(kind, v) for v in values}) == len(values)
 
 
 def test_empty_tables(no_rows, spark, sf, space):
@@ -316,7 +321,7 @@ def test_empty_tables(no_rows, spark, sf, space):
     assert decontaminate.contaminated(no_rows, items).count() == 0
     assert quality_rules.judge(no_rows, labels, fresh()).count() == 0
     assert rule_ensemble.classify(no_rows, labels, fresh()).count() == 0
-    assert surrogates.pseudonymise(no_rows, fresh()).count() == 0
+    assert surrogates.pseudonymise(no_rows, fresh(), b"test key").count() == 0
     assert mixing.mix_summary(no_rows, fresh()).count() == 0
     assert mixing.mixed_documents(no_rows, fresh()).count() == 0
 

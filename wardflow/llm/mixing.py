@@ -1,6 +1,7 @@
 """Mixing sources to target weights.
 
-Every source's words are packed, in doc_id order, into blocks of fixed length. For each output shard a multinomial
+Every source's words are packed, in the order of a hash bucket and then of doc_id, into blocks of a length that is fixed
+for the source: BLOCK words, or less where the source is so small that a block would be a large part of it. For each output shard a multinomial
 draw says how many blocks come from each source; the running slot number of a source goes through that source's own
 pseudorandom permutation of block numbers, and slots meet blocks in a join by (source, block).
 
@@ -18,15 +19,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wardflow.llm._util import Workspace, buckets, mix64, n_words
+from wardflow.llm._util import Workspace, buckets, free_name, mix64, n_words, words
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
 BLOCK = 64
+#: Blocks that a small source is cut into at least, as far as it has words.
+LEAST_BLOCKS = 256
 SHARD_BLOCKS = 65_536
-#: Parts of a source whose documents are put in order apart; fixed, so that the mix does not depend on the cluster.
+#: Parts of a source whose documents are put in order apart, at least, and documents for each; they follow from the number of
+#: documents alone, so that the mix does not depend on the cluster.
 BUCKETS = 1024
+BUCKET_ROWS = 20_000
 SEED = 20_240_601
 
 
@@ -45,7 +50,8 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 4)
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """From (source_key, source_size): rank, target, blocks and slots of each source. One row per source.
+    """From (source_key, source_size): rank, target, block length, blocks and slots of each source. One row per source,
+    so its windows hold as many rows as there are sources.
 
     target = min(2 * size, level * weight), with the level at which targets add up to 150% of all words.
     """
@@ -64,11 +70,12 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     passes = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(MOST)))).otherwise(0)
     return (
         level.withColumn("target", F.least(F.col("source_size") * MOST, F.coalesce(F.col("level") * F.col("weight"), F.col("source_size") * MOST)))
-        .withColumn("blocks", F.ceil(F.col("source_size") / BLOCK))
+        .withColumn("block_words", F.greatest(F.least(F.lit(BLOCK).cast("long"), F.ceil(F.col("source_size") / LEAST_BLOCKS)), F.lit(1)))
+        .withColumn("blocks", F.ceil(F.col("source_size") / F.col("block_words")))
         .withColumn("passes", passes)
-        .withColumn("rest", F.round((F.col("target") - F.col("passes") * F.col("source_size")) / BLOCK).cast("long"))
+        .withColumn("rest", F.round((F.col("target") - F.col("passes") * F.col("source_size")) / F.col("block_words")).cast("long"))
         .withColumn("slots", F.least(F.col("passes") * F.col("blocks") + F.least("rest", "blocks"), F.col("blocks") * int(MOST)).cast("long"))
-        .select("source_key", "source_size", F.col("rank").cast("int").alias("source_id"), "target", "blocks", "slots")
+        .select("source_key", "source_size", F.col("rank").cast("int").alias("source_id"), "target", "block_words", "blocks", "slots")
     )
 
 
@@ -113,7 +120,7 @@ def slot_table(targets: DataFrame, seed: int = SEED, shard_blocks: int = SHARD_B
 
 
 def sized(docs: DataFrame, space: Workspace, name: str = "sized") -> DataFrame:
-    """(row_key, doc_id, source, source_key, bucket, size), saved: one row per document, whose key never changes again."""
+    """(row_key, doc_id, source, source_key, size), saved: one row per document, whose key never changes again."""
     return space.save(_keyed_sizes(docs.select(F.monotonically_increasing_id().alias("row_key"), "doc_id", "source", n_words(F.col("text")).alias("size"))), name)
 
 
@@ -123,13 +130,14 @@ def _keyed_sizes(rows: DataFrame) -> DataFrame:
         "doc_id",
         "source",
         F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source")).alias("source_key"),
-        F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), "size"), F.lit(BUCKETS)).cast("int").alias("bucket"),
         "size",
     )
 
 
 def offsets(rows: DataFrame) -> DataFrame:
     """Adds `start`: the words of a source before each document, by bucket and then doc_id. No task holds a whole source."""
+    n = rows.count()
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), "size"), F.lit(max(BUCKETS, -(-n // BUCKET_ROWS)))).cast("int"))
     sums = rows.groupBy("source_key", "bucket").agg(F.sum("size").alias("in_bucket"))
     before = Window.partitionBy("source_key").orderBy("bucket")
     base = sums.select("source_key", "bucket", (F.sum("in_bucket").over(before) - F.col("in_bucket")).alias("base"))
@@ -139,12 +147,12 @@ def offsets(rows: DataFrame) -> DataFrame:
 
 def block_pieces(placed: DataFrame) -> DataFrame:
     """One row per document and block it lies in: words [at, at + n) of the document."""
-    first, last = F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
-    at = F.greatest(F.col("block") * BLOCK - F.col("start"), F.lit(0))
+    first, last = F.floor(F.col("start") / F.col("block_words")), F.floor((F.col("start") + F.col("size") - 1) / F.col("block_words"))
+    at = F.greatest(F.col("block") * F.col("block_words") - F.col("start"), F.lit(0))
     return (
         placed.where("size > 0")
         .withColumn("block", F.explode(F.sequence(first, last)))
-        .select("row_key", "doc_id", "source_id", "block", at.alias("at"), (F.least((F.col("block") + 1) * BLOCK - F.col("start"), F.col("size")) - at).alias("n"))
+        .select("row_key", "doc_id", "source_id", "block", at.alias("at"), (F.least((F.col("block") + 1) * F.col("block_words") - F.col("start"), F.col("size")) - at).alias("n"))
     )
 
 
@@ -153,7 +161,7 @@ def mix(docs: DataFrame, space: Workspace, seed: int = SEED) -> tuple[DataFrame,
     row_key, doc_id, source_id, block, at, n, shard, slot, epoch."""
     rows = sized(docs, space)
     targets = space.save(source_targets(rows.groupBy("source_key").agg(F.sum("size").alias("source_size"))), "targets")
-    placed = offsets(rows).join(targets.select("source_key", "source_id"), "source_key")
+    placed = offsets(rows).join(targets.select("source_key", "source_id", "block_words"), "source_key")
     return rows, targets, block_pieces(placed).join(slot_table(targets, seed).hint("merge"), ["source_id", "block"])
 
 
@@ -169,24 +177,26 @@ def mix_summary(docs: DataFrame, space: Workspace) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, space: Workspace) -> DataFrame:
-    """The mix as documents: one row per document and epoch that takes words of it, with those words in order."""
-    keyed = space.save(docs.select("doc_id", "text", "lang", "source", F.monotonically_increasing_id().alias("row_key")), "keyed")
-    rows = space.save(_keyed_sizes(keyed.select("row_key", "doc_id", "source", n_words(F.col("text")).alias("size"))), "sized")
+    """The mix as documents: one row per document and pass over its source that takes words of it, with those words in order.
+
+    A document taken whole keeps its text; of others the taken words are joined by one blank. n_chars, where the table has
+    it, is the new text's; all other columns are kept.
+    """
+    key = free_name(docs, "row_key")
+    keyed = space.save(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    rows = space.save(_keyed_sizes(keyed.select(F.col(key).alias("row_key"), "doc_id", "source", n_words(F.col("text")).alias("size"))), "sized")
     targets = space.save(source_targets(rows.groupBy("source_key").agg(F.sum("size").alias("source_size"))), "targets")
-    placed = offsets(rows).join(targets.select("source_key", "source_id"), "source_key")
+    placed = offsets(rows).join(targets.select("source_key", "source_id", "block_words"), "source_key")
     # the planner takes a table made in Python for as small as what it was made from, and would broadcast the slots
     mixed = block_pieces(placed).join(slot_table(targets).hint("merge"), ["source_id", "block"])
     spans = mixed.groupBy("row_key", "epoch").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("spans"), F.sum("n").alias("taken"))
-    whole = keyed.join(rows.select("row_key", "size"), "row_key").join(spans, "row_key")
-    return whole.select(
-        "doc_id",
-        F.when(F.col("taken") == F.col("size"), F.col("text")).otherwise(_spans_text(F.col("text"), F.col("spans"))).alias("text"),
-        "lang",
-        "source",
-    ).withColumn("n_chars", F.length("text").cast("long"))
+    plan = spans.join(rows.select("row_key", "size"), "row_key").select(F.col("row_key").alias(key), F.struct(F.when(F.col("taken") < F.col("size"), F.col("spans")).alias("spans")).alias("_plan" + key))
+    whole = keyed.join(plan, key)
+    parts = F.col("_plan" + key)["spans"]
+    text = F.when(parts.isNull(), F.col("text")).otherwise(_spans_text(F.col("text"), parts))
+    out = whole.withColumn("text", text).select(*[f"`{c}`" for c in docs.columns])
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def _spans_text(text, spans):
-    from wardflow.llm._util import words
-
     return F.transform(F.array(words(text)), lambda w: F.array_join(F.flatten(F.transform(spans, lambda s: F.slice(w, (s["at"] + 1).cast("int"), s["n"].cast("int")))), " "))[0]
