@@ -4,7 +4,7 @@ Pages are cut into lines at block tags and line breaks; for each host, the pages
 host's pages, and lines above the boilerplate ratio are dropped.
 
 Defined cases: null html has no lines; a page without a readable url belongs to host "" ; a line found on fewer than
-`min_pages` pages of a host is never boilerplate, so hosts with few pages lose nothing; repeated page rows count as
+`min_pages` pages of a host is never boilerplate, so a host with fewer pages than that loses nothing; repeated page rows count as
 pages of their own; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -13,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardflow.llm._util import Workspace
+from wardflow.llm._util import Workspace, narrow
 
 RATIO = 0.3
 MIN_PAGES = 3
-SALTS = 32
+#: Pages of a host that are kept together; a host with more is spread over as many parts as that takes.
+HOST_PART = 200
 #: Tags inside a line; every other tag ends one.
 INLINE = r"(?i)</?(?:a|b|i|u|s|em|strong|span|small|sub|sup|mark|code|abbr|cite|q|font)(?:\s[^<>]*)?>"
 BREAK = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^<>]*>|[\r\n]"
@@ -42,16 +43,19 @@ def drop_boilerplate(pages: DataFrame, space: Workspace, ratio: float = RATIO, m
     its pages stays small however many pages the host has.
     """
     cut = space.save(pages.select("page_id", host_of(F.col("url")).alias("host"), page_lines(F.col("html")).alias("lines")), "lines")
-    totals = cut.groupBy("host").agg(F.count("*").alias("host_pages"))
+    parts = F.ceil(F.col("host_pages") / HOST_PART)
+    totals = space.save(cut.groupBy("host").agg(F.count("*").alias("host_pages")).withColumn("parts", parts), "totals")
+    spread = totals.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    large = narrow(totals.where("parts > 1").select("host", "parts"))
+    salted = lambda rows, key: rows.join(large, "host", "left").withColumn("salt", F.pmod(key, F.coalesce("parts", F.lit(1))).cast("long")).drop("parts")
     seen = cut.select("host", F.explode(F.array_distinct(F.transform("lines", line_key))).alias("key")).groupBy("host", "key").agg(F.count("*").alias("with_line")).where(F.col("with_line") >= min_pages)
-    # a host may hold a third of all pages: its rows are spread over SALTS parts, and the host's own row goes to each
-    spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    often = seen.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(totals.withColumn("salt", spread), ["host", "salt"]).where(F.col("with_line") > F.col("host_pages") * ratio).groupBy("host").agg(F.collect_list("key").alias("drop"))
-    per_host = totals.join(often, "host", "left").withColumn("drop", F.coalesce("drop", F.array().cast("array<bigint>")))
+    # a host may hold a third of all pages: its rows are spread over its parts, and the host's own row goes to each
+    often = salted(seen, F.col("key")).join(spread.drop("parts"), ["host", "salt"]).where(F.col("with_line") > F.col("host_pages") * ratio).groupBy("host").agg(F.collect_list("key").alias("drop"))
+    per_host = spread.drop("parts").join(often, "host", "left").withColumn("drop", F.coalesce("drop", F.array().cast("array<bigint>")))
     kept = F.when(F.size("drop") == 0, F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("drop"), line_key(x))))
     return (
-        cut.withColumn("salt", F.pmod(F.xxhash64("page_id", "lines"), F.lit(SALTS)).cast("int"))
-        .join(per_host.withColumn("salt", spread), ["host", "salt"])
+        salted(cut, F.xxhash64("page_id", "lines"))
+        .join(per_host, ["host", "salt"])
         .withColumn("kept", kept)
         .select("page_id", "host", "host_pages", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
     )
