@@ -38,14 +38,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def rule_column(rule: Rule) -> Column:
-    out, known = F.lit(True), features()
-    for name, above, most in rule:
-        if above is not None:
-            out = out & (known[name] > above)
-        if most is not None:
-            out = out & (known[name] <= most)
-    return out
+def measured() -> list[Column]:
+    """Each feature as a column x_<name>."""
+    return [c.alias(f"x_{n}") for n, c in features().items()]
+
+
+def rule_text(rule: Rule) -> str:
+    """The rule as a condition over the columns of `measured`."""
+    tests = [f"x_{name} > {above!r}D" for name, above, _ in rule if above is not None] + [f"x_{name} <= {most!r}D" for name, _, most in rule if most is not None]
+    return " AND ".join(tests) or "true"
 
 
 def tree_rules(model, names: list[str]) -> list[Rule]:
@@ -73,11 +74,9 @@ class Ensemble:
     weighted: list[tuple[float, Rule]]
 
     def column(self) -> Column:
-        """The probability of label 1."""
-        total = F.lit(self.intercept)
-        for weight, rule in self.weighted:
-            total = total + F.when(rule_column(rule), F.lit(weight)).otherwise(F.lit(0.0))
-        return 1 / (1 + F.exp(-total))
+        """The probability of label 1, over the columns of `measured`."""
+        terms = [f"{self.intercept!r}D", *[f"CASE WHEN {rule_text(rule)} THEN {weight!r}D ELSE 0D END" for weight, rule in self.weighted]]
+        return F.expr(f"1 / (1 + exp(-({' + '.join(terms)})))")
 
 
 def fit(stats: DataFrame, labels: DataFrame, space: Workspace, fit_rows: int = FIT_ROWS) -> Ensemble:
@@ -86,7 +85,7 @@ def fit(stats: DataFrame, labels: DataFrame, space: Workspace, fit_rows: int = F
     part = min(1.0, fit_rows / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)))
     names = list(features())
-    rows = space.save(stats.join(known, "doc_id").select("label", *[c.alias(f"x_{n}") for n, c in features().items()], *[c for c in stats.columns if c != "doc_id"]), "fit").coalesce(2)
+    rows = space.save(stats.join(known, "doc_id").select("label", *measured()), "fit").coalesce(2)
     n, ones = rows.agg(F.count("*"), F.sum("label")).first()
     share = ((ones or 0) + 0.5) / (n + 1)
     constant = Ensemble(math.log(share / (1 - share)), [])
@@ -97,7 +96,7 @@ def fit(stats: DataFrame, labels: DataFrame, space: Workspace, fit_rows: int = F
     rules = tree_rules(trees, names)
     if not rules:
         return constant
-    hits = space.save(rows.select("label", F.array(*[rule_column(r).cast("double") for r in rules]).alias("hits")), "hits").coalesce(2).select("label", array_to_vector("hits").alias("features"))
+    hits = space.save(rows.select("label", F.expr(f"array({', '.join(f'CAST({rule_text(r)} AS DOUBLE)' for r in rules)})").alias("hits")), "hits").coalesce(2).select("label", array_to_vector("hits").alias("features"))
     model = LogisticRegression(elasticNetParam=1.0, regParam=PENALTY, standardization=False, maxIter=60).fit(hits)
     return Ensemble(float(model.intercept), [(float(w), r) for w, r in zip(model.coefficients, rules, strict=True) if abs(w) > 1e-6])
 
@@ -106,4 +105,4 @@ def classify(docs: DataFrame, labels: DataFrame, space: Workspace) -> DataFrame:
     """doc_id, held_out, score, predicted, one row per document."""
     stats = space.save(text_stats(docs, "doc_id"), "stats")
     model = fit(stats, labels, space)
-    return stats.select("doc_id", held_out().alias("held_out"), model.column().alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    return stats.select("doc_id", *measured()).select("doc_id", held_out().alias("held_out"), model.column().alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
