@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,9 +26,10 @@ from wardflow.llm import simple8b
 from wardflow.llm._util import Workspace, pieces, text_bytes
 
 END_ID = 0
-FILE_TEXT = 12 << 20
-#: Units whose ids a worker keeps; further ones are encoded anew in each file.
-CACHE_UNITS = 800_000
+FILE_TEXT = 6 << 20
+#: Units whose ids a worker keeps, and the characters of the longest one; others are encoded anew in each file.
+CACHE_UNITS = 400_000
+CACHE_CHARS = 40
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -70,7 +71,7 @@ class Encoder:
             for i, e in zip(part, self.tokenizer.encode_batch_fast([units[i] for i in part], add_special_tokens=False), strict=True):
                 out[i] = array(code, e.ids).tobytes()
             if len(known) < CACHE_UNITS:
-                known.update((units[i], out[i]) for i in part)
+                known.update((units[i], out[i]) for i in part if len(units[i]) <= CACHE_CHARS)
         return out
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -103,14 +104,18 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder_of(path: str) -> Encoder:
-    """The worker's encoder, which keeps the units of earlier tasks. Workers import this function, so they share one table."""
+    """The worker's encoder, which keeps the units of earlier tasks. Workers import this function, so they share one table.
+
+    Where the driver's path isn't there, the copy that Spark sent to the executor is read.
+    """
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
     return _encoders[path]
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, space: Workspace, name: str = "token-files") -> DataFrame:
     """Writes the files and returns their table."""
+    docs.sparkSession.sparkContext.addFile(tokenizer_path)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer_path)
@@ -121,7 +126,9 @@ def write_ids(docs: DataFrame, tokenizer_path: str, space: Workspace, name: str
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seg": pa.array([seg], pa.int32()), "doc_ids": pa.array([piece.column("doc_id").to_pylist()], pa.list_(pa.int64())), "doc_tokens": pa.array([counts], pa.list_(pa.int64())), "image": pa.array([simple8b.encode(ids)], pa.binary())})
                 seg += 1
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # the hash splits what has one doc_id, or none
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
     return space.save(ordered.mapInArrow(code, FILE_SCHEMA), name)
 
 
