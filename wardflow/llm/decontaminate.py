@@ -20,7 +20,7 @@ from wardflow.llm._util import free_name
 
 WORDS = 5
 THRESHOLD = 0.8
-#: Sketch rows (16 bytes each) up to which the items' side is broadcast; beyond it the join shuffles.
+#: Rows (16 bytes each) of sketches, and of candidates, up to which they are broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
 
@@ -57,6 +57,10 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
         sketches = F.broadcast(sketches)
     hashes = docs.select("doc_id", plain_words(F.col("text")).alias("w")).select("doc_id", F.explode(shingle_hashes(F.col("w"))).alias("hash"))
     candidates = hashes.join(sketches, "hash").groupBy("doc_id", "item_id").agg(F.countDistinct("hash").alias("hits"), F.min("need").alias("need")).where(F.col("hits") >= F.col("need")).select(F.col("doc_id").alias("at_doc"), F.col("item_id").alias("at_item"))
+    # few documents have a candidate: their ids go to the texts, and only beyond the bound the texts to the ids
+    candidates = candidates.persist()
+    if candidates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        candidates = F.broadcast(candidates)
     texts = docs.select("doc_id", "text").join(candidates, F.col("doc_id").eqNullSafe(F.col("at_doc"))).select("doc_id", "at_item", plain_words(F.col("text")).alias("dw"))
     wanted = items.select("item_id", plain_words(F.col("text")).alias("iw")).select("item_id", shingle_texts(F.col("iw")).alias("want"))
     return (
