@@ -7,7 +7,7 @@ import secrets
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardflow.llm import conversations, decontaminate, line_dedup, lm_scoring, mixing, quality_rules, rule_ensemble, simhash, substring_dedup, surrogates, token_ids
+from wardflow.llm import conversations, decontaminate, line_dedup, lm_scoring, mixing, packing, quality_rules, rule_ensemble, simhash, substring_dedup, surrogates, token_ids
 from wardflow.llm._util import Workspace
 
 
@@ -73,8 +73,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damage(_table(spark, sf_dir, "conversations")), Workspace(spark))
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file(), Workspace(spark))
+
+
 def queries() -> dict:
-    own = [op1_token_ids, op2_lm_scoring, op3_simhash, op4_substring_dedup, op5_decontaminate, op6_quality_rules, op7_surrogates, op8_rule_ensemble, op9_line_dedup, op10_mixing, op12_conversation_repair]
+    own = [op1_token_ids, op2_lm_scoring, op3_simhash, op4_substring_dedup, op5_decontaminate, op6_quality_rules, op7_surrogates, op8_rule_ensemble, op9_line_dedup, op10_mixing, op12_conversation_repair, op13_best_fit_packing]
     return {f.__name__: f for f in own}
 
 
