@@ -106,9 +106,9 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word in the bytes, and for each text the number of words before it (one more than texts)."""
-    inside = ~_IS_SPACE[raw]
+def word_spans(raw: np.ndarray, off: np.ndarray, between: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word in the bytes, and for each text the number of words before it (one more than texts); between: which bytes are in no word."""
+    inside = ~between[raw]
     first = np.zeros(len(raw) + 1, bool)
     first[off] = True
     before = np.empty_like(inside)

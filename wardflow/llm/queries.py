@@ -7,7 +7,7 @@ import secrets
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardflow.llm import conversations, decontaminate, line_dedup, lm_scoring, mixing, packing, quality_rules, rule_ensemble, simhash, substring_dedup, surrogates, token_ids
+from wardflow.llm import collocations, conversations, decontaminate, line_dedup, lm_scoring, mixing, packing, quality_rules, rule_ensemble, simhash, substring_dedup, surrogates, token_ids
 from wardflow.llm._util import Workspace
 
 
@@ -69,6 +69,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_summary(_table(spark, sf_dir, "documents"), Workspace(spark))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), Workspace(spark))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damage(_table(spark, sf_dir, "conversations")), Workspace(spark))
 
@@ -78,9 +82,9 @@ def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_token_ids, op2_lm_scoring, op3_simhash, op4_substring_dedup, op5_decontaminate, op6_quality_rules, op7_surrogates, op8_rule_ensemble, op9_line_dedup, op10_mixing, op12_conversation_repair, op13_best_fit_packing]
+    own = [op1_token_ids, op2_lm_scoring, op3_simhash, op4_substring_dedup, op5_decontaminate, op6_quality_rules, op7_surrogates, op8_rule_ensemble, op9_line_dedup, op10_mixing, op11_collocations, op12_conversation_repair, op13_best_fit_packing]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": decontaminate.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+    return {"op5_decontaminate": decontaminate.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op11_collocations": collocations.ORACLE}
