@@ -257,7 +257,68 @@ def test_mixing(docs, space, spark):
     assert Counter(again) == Counter(got)
 
 
+@pytest.mark.parametrize("shard_blocks, group", [(50, 1024), (50, 3), (7, 2)])
+def test_draws_of_shards(spark, shard_blocks, group):
+    slots = {1: 400, 2: 90, 3: 211, 5: 0, 6: 7}
+    targets = spark.createDataFrame([(s, n, n) for s, n in slots.items()], "source_id int, blocks long, slots long")
+    got = {(r.shard, r.source_id): (r.start, r.drawn) for r in mixing.shard_counts(targets, 11, shard_blocks, group).collect()}
+
+    def draws(have, size, level):
+        share, left, out = {s: n / sum(have.values()) for s, n in have.items()}, dict(have), []
+        while sum(left.values()):
+            rng, counts = np.random.default_rng([11, *level, len(out)]), dict.fromkeys(have, 0)
+            todo = min(size, sum(left.values()))
+            while todo:
+                p = np.array([share[s] if counts[s] < left[s] else 0.0 for s in have])
+                for s, n in zip(have, rng.multinomial(todo, p / p.sum()).tolist(), strict=True):
+                    counts[s] = min(counts[s] + n, left[s])
+                todo = min(size, sum(left.values())) - sum(counts.values())
+            left = {s: left[s] - counts[s] for s in left}
+            out.append(counts)
+        return out
+
+    want, start = {}, dict.fromkeys(slots, 0)
+    for g, part in enumerate(draws({s: n for s, n in slots.items() if n}, shard_blocks * group, [])):
+        for k, counts in enumerate(draws(part, shard_blocks, [g])):
+            for s, n in counts.items():
+                want[g * group + k, s] = (start[s], n)
+                start[s] += n
+    assert got == want and start == slots
+    most = [n for (shard, s), (_, n) in got.items() if s == 1 and shard < 700 // shard_blocks]
+    assert len(set(most)) > 2  # a constant would not vary
+
+
+def test_shards_hold_what_was_drawn(docs, spark):
+    seed, size = 5, 40
+    rows, targets, mixed = mixing.mix(docs, Workspace(spark), seed, size)
+    words_of = {(r.shard, r.source_id): r.n for r in mixed.groupBy("shard", "source_id").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    length = {r.source_id: (r.block_words, r.blocks * r.block_words - r.source_size) for r in targets.collect()}
+    drawn = {(r.shard, r.source_id): r.drawn for r in mixing.shard_counts(targets, seed, size).collect() if r.drawn}
+    assert words_of.keys() == drawn.keys() and len({s for s, _ in drawn}) > 1
+    for at, n in drawn.items():
+        block, short = length[at[1]]
+        assert n * block - 2 * short <= words_of[at] <= n * block
+    summary = mixing.mix_summary(docs, Workspace(spark), seed, size).collect()
+    assert {r.first_shard for r in summary if r.taken} | {r.last_shard for r in summary if r.taken} <= {s for s, _ in drawn}
+    assert {r.first_shard for r in summary if r.taken} != {0}
+    other = mixing.mix_summary(docs, Workspace(spark), seed + 1, size).collect()
+    assert Counter((r.doc_id, r.first_shard, r.last_shard) for r in other) != Counter((r.doc_id, r.first_shard, r.last_shard) for r in summary)
+
+
+def test_mixed_blocks(docs, spark):
+    blocks = mixing.mixed_blocks(docs, Workspace(spark), shard_blocks=100).collect()
+    assert [(r.shard, r.turn) for r in blocks] == sorted((r.shard, r.turn) for r in blocks)
+    got = Counter(w for r in blocks for w in words(r.text))
+    _, _, mixed = mixing.mix(docs, Workspace(spark), shard_blocks=100)
+    assert sum(got.values()) == sum(r.n for r in mixed.select("n").collect())
+    have = Counter(w for r in docs.select("text").collect() for w in words(r.text))
+    assert all(n <= 2 * have[w] for w, n in got.items())
+
+
 def test_mixed_documents(docs, space, spark):
+    placed = mixing.mixed_documents(docs, space, shard_blocks=100, places=True)
+    at = [(r[-2], r[-1]) for r in placed.collect()]
+    assert at == sorted(at) and len({s for s, _ in at}) > 1
     mixed = mixing.mixed_documents(docs, space)
     assert mixed.columns == docs.columns
     total = sum(len(words(r.text)) for r in mixed.collect())
