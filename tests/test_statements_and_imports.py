@@ -40,28 +40,6 @@ def test_figures_stand_where_they_say(spark, sf):
         assert all(text[at : at + len(raw)] == raw for _, _, raw, at in statements.figures_of(text))
 
 
-@pytest.mark.parametrize(
-    "text, want",
-    [
-        ("Dr. Li came. She left.", ["Dr. Li came.", "She left."]),
-        ("It was 8.0 cm. See no. 5 and e.g. this. Done!", ["It was 8.0 cm.", "See no. 5 and e.g. this.", "Done!"]),
-        ("J. R. Ellis said so. ok", ["J. R. Ellis said so. ok"]),
-        ("1. Walk. Rest", ["1. Walk.", "Rest"]),
-        ('He said "yes." Then he left', ['He said "yes."', "Then he left"]),
-        ("a\n  \nB", ["a", "B"]),
-        (None, []),
-    ],
-)
-def test_sentences(text, want, spark):
-    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    assert [r.sentence for r in statements.split_sentences(rows, "doc_id").orderBy("line_no", "n").collect()] == want
-
-
-def test_long_line_is_split_in_linear_time(spark):
-    rows = spark.createDataFrame([(1, "Word here. " * 50_000)], "doc_id long, text string")
-    assert statements.split_sentences(rows, "doc_id").count() == 50_000
-
-
 M = 30.4375
 
 

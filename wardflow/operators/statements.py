@@ -16,93 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.operators.cleaning import MONTH_NAMES
+from wardflow.operators.sentence_spans import TERMS, sentences_sql, split_sentences
 from wardflow.registry import query
 from wardflow.sources.tables import table
 
-#: Short forms that never end a sentence, and those that don't before a number.
-NEVER = "dr mr mrs ms mx miss prof rev st e.g eg i.e ie approx appx cf viz vs incl esp nb n.b ca re wrt w.r.t aka a.k.a".split()
-BEFORE_NUMBER = "no nos fig figs ref tel ext vol pp para paras sect jan feb mar apr jun jul aug sep sept oct nov dec".split()
-MARK = "\x01"
-_any = lambda words: "|".join(w.replace(".", r"\.") for w in words)
-#: Replacements (form, new) that set the marks of one line, in order. $1 and $2 are what the brackets hold.
-SPLITS = [
-    (r"""([.!?]+["”’)\]]*)(\s)""", "$1" + MARK + "$2"),
-    (rf"(?i)((?:^|[\s(])(?:{_any(NEVER)})\.){MARK}", "$1"),
-    (rf"(?i)((?:^|[\s(])(?:{_any(BEFORE_NUMBER)})\.){MARK}(\s+[0-9#])", "$1$2"),
-    *[(rf"((?:^|[\s.(])[A-Z]\.){MARK}(\s+[A-Z])", "$1$2")] * 2,  # twice, as one initial may follow another
-    (rf"^(\s*[0-9]{{1,2}}\.){MARK}", "$1"),
-    (rf"{MARK}(\s+[a-z])", "$1"),
-]
-
-
-def marked(line: Column) -> Column:
-    for form, new in SPLITS:
-        line = F.regexp_replace(line, form, new)
-    return line
-
-
-def _marked_sql(line: str) -> str:
-    for form, new in SPLITS:
-        form, new = form.replace("'", "''").replace(MARK, r"\x01"), re.sub(r"\$(\d)", r"\\\1", new)
-        new = "'" + new.replace(MARK, "' || chr(1) || '") + "'"
-        line = f"regexp_replace({line}, '{form}', {new}, 'g')"
-    return line
-
-
-def split_sentences(rows: DataFrame, *key: str) -> DataFrame:
-    """Sentences of rows (key, text): key, line_no, n (within the line), start (characters from the line's start), sentence."""
-    lines = rows.select(*key, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    cut = lines.select(*key, "line_no", F.split(marked(F.col("line")), MARK).alias("pieces"))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pieces = batch.column("pieces")
-            flat, of = pieces.flatten(), pc.list_parent_indices(pieces)
-            row = of.to_numpy(zero_copy_only=False)
-            length = pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
-            before = np.cumsum(length) - length
-            first = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
-            runs = np.flatnonzero(first)
-            size = np.diff(np.r_[runs, len(row)])
-            start = before - np.repeat(before[runs], size) + length - pc.utf8_length(pc.utf8_ltrim_whitespace(flat)).to_numpy(zero_copy_only=False)
-            plain = pc.utf8_trim_whitespace(flat)
-            keep = pc.not_equal(plain, "").to_numpy(zero_copy_only=False)
-            kept = row[keep]
-            n = np.arange(len(kept)) - np.searchsorted(kept, kept)
-            at = pa.array(kept)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in (*key, "line_no")], pa.array(n.astype(np.int32)), pa.array(start[keep].astype(np.int32)), plain.filter(pa.array(keep))], [*key, "line_no", "n", "start", "sentence"])
-
-    types = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in key)
-    return cut.mapInArrow(place, f"{types}, line_no int, n int, start int, sentence string")
-
-
-_SENTENCES = f"""pieces AS (SELECT doc_id, line_no, unnest(p) AS piece, generate_subscripts(p, 1) AS k FROM (SELECT doc_id, line_no, string_split({_marked_sql("line")}, chr(1)) AS p FROM (SELECT doc_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM {{source}})))),
-placed AS (SELECT doc_id, line_no, k, piece, sum(length(piece)) OVER (PARTITION BY doc_id, line_no ORDER BY k) - length(piece) AS before FROM pieces),
-sentences AS (SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY k) - 1 AS n, CAST(before + length(piece) - length(regexp_replace(piece, '^\\s+', '')) AS BIGINT) AS start, regexp_replace(piece, '^\\s+|\\s+$', '', 'g') AS sentence FROM placed WHERE regexp_matches(piece, '\\S'))"""
-
-
-@query("WITH " + _SENTENCES.replace("{source}", "documents") + "\nSELECT doc_id, line_no, n, start, sentence AS text FROM sentences")
-def sentences(spark, sf_dir):
-    """Every sentence with its place."""
-    return split_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").withColumnRenamed("sentence", "text")
-
-
-#: Terms that a scope leaves out.
-TERMS = ("licence", "license", "password", "token")
-
-
-@query("WITH " + _SENTENCES.replace("{source}", "documents") + f"""
-SELECT doc_id, count(*) FILTER (held) AS removed, count(*) AS sentences, md5(coalesce(string_agg(sentence, ' ' ORDER BY line_no, n) FILTER (NOT held), '')) AS kept_md5
-FROM (SELECT *, regexp_matches(lower(sentence), '\\b({"|".join(TERMS)})\\b') AS held FROM sentences) GROUP BY 1""")
-def excluded_terms(spark, sf_dir):
-    """Each text without the sentences that hold an excluded term."""
-    held = F.lower("sentence").rlike(rf"\b({'|'.join(TERMS)})\b")
-    s = sentences(spark, sf_dir).withColumnRenamed("text", "sentence").withColumn("held", held)
-    kept = F.array_sort(F.collect_list(F.when(~F.col("held"), F.struct("line_no", "n", "sentence"))))
-    out = s.groupBy("doc_id").agg(F.count_if("held").alias("removed"), F.count("*").alias("sentences"), kept.alias("k"))
-    return out.select("doc_id", "removed", "sentences", F.md5(F.array_join(F.col("k.sentence"), " ")).alias("kept_md5"))
-
-
 # ---- figures ----
 
 #: Numbers in words.
@@ -450,8 +367,8 @@ _SPLIT = r"list_sort(list_distinct(list_filter({w}, lambda x: {test})))"
 _IN = lambda words: f"list_contains([{', '.join(map(repr, words))}], x)"
 _REPEATS = (
     "WITH "
-    + _SENTENCES.replace("{source}", "documents")
-    + rf""", f AS (SELECT doc_id, line_no * 100000 + n AS place, regexp_extract_all(lower(sentence), '[\p{{L}}]+(?:[''’][\p{{L}}]+)?') AS w, list_sort(regexp_extract_all(sentence, '[0-9]+(?:[./,:-][0-9]+)*')) AS vals FROM sentences),
+    + sentences_sql("documents")
+    + rf""", f AS (SELECT doc_id, n AS place, regexp_extract_all(lower(sentence), '[\p{{L}}]+(?:[''’][\p{{L}}]+)?') AS w, list_sort(regexp_extract_all(sentence, '[0-9]+(?:[./,:-][0-9]+)*')) AS vals FROM sentences),
 g AS (SELECT doc_id, place, vals, {_SPLIT.format(w="w", test="length(x) > 1 AND NOT " + _IN(STOP))} AS content, len(list_filter(w, lambda x: {_IN(NEGATIONS)})) > 0 AS denied, {_SPLIT.format(w="w", test=_IN([x for ws in CONTRAST.values() for x in ws]))} AS contrast FROM f WHERE len(w) >= 5),
 h AS (SELECT * FROM g WHERE len(content) >= 3),
 c AS (SELECT doc_id, content, vals, denied, contrast, min(place) AS first FROM h GROUP BY ALL),
@@ -470,8 +387,8 @@ WHERE least(c.first, coalesce(n.near, c.first)) < h.place"""
 
 @query(_REPEATS)
 def near_dup_sentences(spark, sf_dir):
-    """Sentences of a document that say again what an earlier one of it says; place is line * 100000 + sentence."""
-    s = sentences(spark, sf_dir).select("doc_id", (F.col("line_no").cast("long") * 100_000 + F.col("n")).alias("place"), F.col("text").alias("sentence"))
+    """Sentences of a document that say again what an earlier one of it says; place is the sentence's number."""
+    s = split_sentences(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.col("n").alias("place"), "sentence")
     return repeated_sentences_of(s, "doc_id", "place")
 
 
