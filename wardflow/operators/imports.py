@@ -328,14 +328,13 @@ import_invoices = _query("invoices", "ref", "issuedOn", "dueOn", "total", "paid"
 @query("""SELECT s_suppkey AS ref, 'Site; ' || s_name || chr(10) || 'line "2"' AS name, CASE WHEN s_suppkey % 4 <> 0 THEN CAST(s_nationkey AS VARCHAR) END AS nation, s_suppkey % 5 = 0 AS bad FROM supplier""")
 def csv_import(spark, sf_dir):
     """A semicolon file with a byte-order mark, quoted line breaks and quotes, short rows and rows that are too long."""
-    import uuid
+    from wardflow.streaming.jobs import work_folder
 
-    from wardflow.streaming.jobs import shared_folder
-
-    at = f"{shared_folder(spark)}/import-{uuid.uuid4().hex}"
+    at = work_folder(spark, "import")
     k = F.col("s_suppkey")
     cells = F.concat(k.cast("string"), F.lit(';"Site; '), F.col("s_name"), F.lit('\nline ""2"""'), F.when(k % 4 != 0, F.concat(F.lit(";"), F.col("s_nationkey").cast("string"))).otherwise(""), F.when(k % 5 == 0, F.when(k % 4 == 0, ";;x;y").otherwise(";x;y")).otherwise(""))
-    rows = table(spark, sf_dir, "supplier").orderBy(k).agg(F.concat(F.lit("﻿ref;name;nation\n"), F.array_join(F.array_sort(F.collect_list(F.struct(k, cells.alias("c"))))["c"], "\n")).alias("value"))
-    rows.coalesce(1).write.option("lineSep", "\n").text(at)
+    supplier = table(spark, sf_dir, "supplier")
+    top = F.when(k == supplier.agg(F.min("s_suppkey")).scalar(), "\ufeffref;name;nation\n").otherwise("")
+    supplier.select("s_suppkey", F.concat(top, cells).alias("value")).sort("s_suppkey").coalesce(1).select("value").write.option("lineSep", "\n").text(at)
     read = C.read_csv(spark, at)
     return read.select(F.col("ref").cast("long").alias("ref"), "name", F.nullif("nation", F.lit("")).alias("nation"), F.col("_long").alias("bad"))

@@ -1,7 +1,8 @@
 """Episode imports: files of one patient's notes as JSON, CSV or plain text, to rows of notes, visits and scores with issues.
 
 A file is one value (`content`); what it holds becomes rows by exploding, so a file's size is bounded by its own text. The
-limits on a file are parameters, and a file beyond them gets an issue and no rows.
+limits on a file are parameters, and a file beyond them gets an issue and no rows: TOO_LONG, TOO_MANY_NOTES. A CSV row with more cells than the header
+is left out with ROW_TOO_LONG, and of two equal headers the first one holds, with HEADER_TWICE.
 """
 
 from __future__ import annotations
@@ -22,39 +23,57 @@ _NOTE = "struct<date:string,type:string,author:string,subjective:string,objectiv
 SCHEMA = f"struct<registration:struct<first_name:string,last_name:string,date_of_birth:string>,notes:array<{_NOTE}>,appointments:array<struct<date:string,start_time:string,duration:int,status:string>>,outcome_measures:array<struct<name:string,scores:array<struct<date:string,value:double>>>>>"
 
 
-def read_json(files: DataFrame, key: str, most_notes: int = MOST_NOTES) -> dict[str, DataFrame]:
+def read_json(files: DataFrame, key: str, most_notes: int = MOST_NOTES, most_chars: int = MOST_CHARS) -> dict[str, DataFrame]:
     """From (key, content): notes (key, n, day, kind, author, and the parts), visits, scores and issues (key, code, at)."""
     read = files.select(key, F.length("content").alias("chars"), F.from_json("content", SCHEMA, {"mode": "PERMISSIVE"}).alias("b"))
     read = read.withColumn("broken", F.coalesce(F.col("b.registration").isNull() & F.col("b.notes").isNull() & F.col("b.appointments").isNull() & F.col("b.outcome_measures").isNull(), F.lit(True)))
-    fit = read.where((F.col("chars") <= MOST_CHARS) & ~F.col("broken") & (F.coalesce(F.size("b.notes"), F.lit(0)) <= most_notes))
+    long = F.col("chars") > most_chars
+    fit = read.where(~long & ~F.col("broken") & (F.coalesce(F.size("b.notes"), F.lit(0)) <= most_notes))
     notes = fit.select(key, F.posexplode("b.notes").alias("n", "x")).select(key, "n", C.read_date(F.col("x.date")).alias("day"), F.col("x.type").alias("kind"), "x.author", *[f"x.{p}" for p in PARTS.values()])
     code = F.upper(F.trim("x.status"))
     visits = fit.select(key, F.posexplode("b.appointments").alias("n", "x")).select(key, "n", C.read_date(F.col("x.date")).alias("day"), C.read_time(F.col("x.start_time")).alias("minute"), "x.duration", F.coalesce(*[F.when(code == c, F.lit(v)) for c, v in VISIT_CODES.items()]).alias("outcome"))
     scores = fit.select(key, F.explode("b.outcome_measures").alias("m")).select(key, F.col("m.name").alias("measure"), F.posexplode("m.scores").alias("n", "x")).select(key, "measure", "n", C.read_date(F.col("x.date")).alias("day"), F.round(F.col("x.value") * 10).cast("long").alias("tenths"))
     issue = lambda rows, code, at: rows.select(key, F.lit(code).alias("code"), at.alias("at"))
-    issues = issue(read.where("broken"), "NOT_READABLE", F.lit(-1)).unionByName(issue(read.where(~F.col("broken") & F.coalesce(F.size("b.notes") > most_notes, F.lit(False))), "TOO_MANY_NOTES", F.lit(-1)))
+    issues = issue(read.where(long), "TOO_LONG", F.lit(-1)).unionByName(issue(read.where(~F.coalesce(long, F.lit(False)) & F.col("broken")), "NOT_READABLE", F.lit(-1))).unionByName(issue(read.where(~long & ~F.col("broken") & F.coalesce(F.size("b.notes") > most_notes, F.lit(False))), "TOO_MANY_NOTES", F.lit(-1)))
     issues = issues.unionByName(issue(notes.where("day IS NULL"), "NOTE_DATE", F.col("n"))).unionByName(issue(visits.where("day IS NULL"), "VISIT_DATE", F.col("n"))).unionByName(issue(visits.where("outcome IS NULL"), "VISIT_STATUS", F.col("n")))
     return {"notes": notes, "visits": visits, "scores": scores, "issues": issues}
 
 
+_BREAK, _COMMA = "\x01", "\x02"
+
+
+def _shielded(content: Column) -> Column:
+    """The text with line breaks and commas inside quotes replaced: what lies between an odd quote and the next one is quoted."""
+    quoted = lambda x: F.replace(F.replace(x, F.lit("\n"), F.lit(_BREAK)), F.lit(","), F.lit(_COMMA))
+    return F.array_join(F.transform(F.split(content, '"'), lambda x, i: F.when(i % 2 == 1, quoted(x)).otherwise(x)), '"')
+
+
 def _cells(line: Column) -> Column:
-    """Cells of a CSV line without line breaks in them."""
-    parts = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    return F.transform(parts, lambda p: F.replace(F.regexp_replace(F.trim(p), '^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
+    """Cells of a shielded CSV line."""
+    bare = lambda p: F.replace(F.regexp_replace(F.trim(p), '(?s)^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))
+    return F.transform(F.split(line, ","), lambda p: F.replace(F.replace(bare(p), F.lit(_BREAK), F.lit("\n")), F.lit(_COMMA), F.lit(",")))
 
 
-def read_csv_notes(files: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """From (key, content): facts of '# name: value' lines (key, name, value), and rows as maps of header to cell (key, n, row)."""
-    lines = F.filter(F.split("content", r"\r?\n"), lambda x: F.trim(x) != "")
-    cut = files.select(key, F.filter(lines, lambda x: x.startswith("#")).alias("meta"), F.filter(lines, lambda x: ~x.startswith("#")).alias("rows"))
+def read_csv_notes(files: DataFrame, key: str, most_chars: int = MOST_CHARS) -> dict[str, DataFrame]:
+    """From (key, content): facts of '# name: value' lines (key, name, value), rows as maps of header to cell (key, n, row), and issues
+    (key, code, at). Cells may hold quoted commas and line breaks; `at` is the row, or the place of the header that stands twice."""
+    fit, long = files.where(F.length("content") <= most_chars), files.where(F.length("content") > most_chars)
+    lines = F.filter(F.split(_shielded(F.col("content")), r"\r?\n"), lambda x: F.trim(x) != "")
+    cut = fit.select(key, lines.alias("lines")).select(key, F.filter("lines", lambda x: x.startswith("#")).alias("meta"), F.filter("lines", lambda x: ~x.startswith("#")).alias("rows"))
     form = r"^#\s*([^:]+?)\s*:\s*(.*)$"
-    facts = cut.select(key, F.explode("meta").alias("l")).where(F.col("l").rlike(form)).select(key, F.lower(F.regexp_extract("l", form, 1)).alias("name"), F.regexp_extract("l", form, 2).alias("value"))
-    head = F.transform(_cells(F.col("rows")[0]), lambda h: F.lower(h))
-    rows = cut.where(F.size("rows") > 1).select(key, head.alias("head"), F.posexplode(F.slice("rows", F.lit(2), F.size("rows"))).alias("n", "l"))
+    plain = F.replace(F.replace(F.col("l"), F.lit(_BREAK), F.lit("\n")), F.lit(_COMMA), F.lit(","))
+    facts = cut.select(key, F.explode("meta").alias("l")).where(F.col("l").rlike(form)).select(key, F.lower(F.regexp_extract(plain, form, 1)).alias("name"), F.regexp_extract(plain, form, 2).alias("value"))
+    head = F.transform(_cells(F.get("rows", F.lit(0))), lambda h: F.lower(h))
+    headed = cut.where(F.size("rows") > 0).select(key, head.alias("head"), "rows")
+    rows = headed.select(key, "head", F.posexplode(F.slice("rows", F.lit(2), F.size("rows"))).alias("n", "l"))
     width = F.size("head")
-    cells = rows.select(key, "n", "head", _cells(F.col("l")).alias("cells")).where(F.size("cells") <= width)
+    cells = rows.select(key, "n", "head", _cells(F.col("l")).alias("cells"))
     padded = F.slice(F.concat("cells", F.array_repeat(F.lit(""), width)), F.lit(1), width)
-    return facts, cells.select(key, "n", F.map_from_arrays("head", padded).alias("row"))
+    first = F.filter(F.arrays_zip("head", padded.alias("cell")), lambda x, i: F.array_position(F.col("head"), x["head"]) == i + 1)
+    issue = lambda df, code, at: df.select(key, F.lit(code).alias("code"), at.cast("int").alias("at"))
+    twice = headed.select(key, F.posexplode("head").alias("i", "h"), "head").where(F.array_position(F.col("head"), F.col("h")) < F.col("i") + 1)
+    issues = issue(long, "TOO_LONG", F.lit(-1)).unionByName(issue(cells.where(F.size("cells") > width), "ROW_TOO_LONG", F.col("n"))).unionByName(issue(twice, "HEADER_TWICE", F.col("i")))
+    return {"facts": facts, "rows": cells.where(F.size("cells") <= width).select(key, "n", F.map_from_entries(first).alias("row")), "issues": issues}
 
 
 def read_text_notes(files: DataFrame, key: str) -> DataFrame:
@@ -123,15 +142,25 @@ SELECT k, n, c[1] AS date, c[2] AS type, coalesce(c[3], '') AS subjective, coale
 def episode_csv_rows(spark, sf_dir):
     """Rows of CSV files: quoted commas, short rows filled, rows that are too long left out."""
     f = table(spark, sf_dir, "supplier").withColumn("k", F.col("s_suppkey")).select("k", F.expr(_CSV).alias("content"))
-    rows = read_csv_notes(f, "k")[1]
+    rows = read_csv_notes(f, "k")["rows"]
     return rows.select("k", F.col("n").cast("long").alias("n"), *[F.col("row")[c].alias(c) for c in ("date", "type", "subjective", "status")])
 
 
+@query("SELECT s_suppkey AS k, 'ROW_TOO_LONG' AS code, 2 AS at FROM supplier UNION ALL SELECT s_suppkey, 'HEADER_TWICE', 4 FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey, 'TOO_LONG', -1 FROM supplier WHERE s_suppkey % 10 = 0")
+def episode_csv_issues(spark, sf_dir):
+    """What was left out of CSV files; every third file has a header twice, and every tenth comes again, longer than may be."""
+    k = F.col("s_suppkey")
+    f = table(spark, sf_dir, "supplier").withColumn("k", k).select("k", F.expr(_CSV).alias("content"))
+    twice = f.withColumn("content", F.when(F.col("k") % 3 == 0, F.replace("content", F.lit("Status\n"), F.lit("Status,TYPE\n"))).otherwise(F.col("content")))
+    long = f.where("k % 10 = 0").withColumn("content", F.rpad("content", 5_000, " "))
+    return read_csv_notes(twice.withColumn("content", F.replace("content", F.lit("a,b,c,d,e"), F.lit("a,b,c,d,e,f"))).unionByName(long), "k", 4_000)["issues"]
+
+
 @query(f"WITH f AS (SELECT k, {_CSV} AS content FROM (SELECT s_suppkey AS k, s_name FROM supplier)) SELECT k, 'patient' AS name, regexp_extract(content, '# Patient: ([^\\n]*)', 1) AS value FROM f UNION ALL SELECT k, 'ref', regexp_extract(content, '# ref : ([^\\n]*)', 1) FROM f")
 def episode_csv_facts(spark, sf_dir):
     """Facts that stand above the rows of CSV files."""
     f = table(spark, sf_dir, "supplier").withColumn("k", F.col("s_suppkey")).select("k", F.expr(_CSV).alias("content"))
-    return read_csv_notes(f, "k")[0]
+    return read_csv_notes(f, "k")["facts"]
 
 
 _TEXT = "'Printed for ' || s_name || chr(10) || '03/04/2026 Initial with Dr Li' || chr(10) || 'S: knee pain ' || k || chr(10) || 'worse at night' || chr(10) || 'O: full range' || chr(10) || 'P: rest' || chr(10) || chr(10) || '2026-04-0' || (k % 9 + 1) || chr(10) || 'seen briefly' || CASE WHEN k % 2 = 0 THEN chr(10) || 'A: better' ELSE '' END"
@@ -182,4 +211,4 @@ def visits_of_rows(rows: DataFrame, key: str) -> DataFrame:
 def episode_csv_visits(spark, sf_dir):
     """Visits of CSV files: rows that have a status."""
     f = table(spark, sf_dir, "supplier").withColumn("k", F.col("s_suppkey")).select("k", F.expr(_CSV).alias("content"))
-    return visits_of_rows(read_csv_notes(f, "k")[1], "k")
+    return visits_of_rows(read_csv_notes(f, "k")["rows"], "k")

@@ -6,6 +6,7 @@ available-now trigger it ends with the rows of the batch query.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -46,11 +47,28 @@ def usage(rows: DataFrame) -> DataFrame:
 
 def run_to_end(rows: DataFrame, space: str) -> DataFrame:
     """Runs a stream over what is there, then returns what it wrote. `space` is a folder that executors share."""
-    spark, at = rows.sparkSession, f"{space}/stream-{uuid.uuid4().hex}"
+    spark = rows.sparkSession
+    at = work_folder(spark, "stream", space)
     rows.writeStream.format("parquet").outputMode("append").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{at}/out")
 
 
+def work_folder(spark: SparkSession, name: str, space: str | None = None) -> str:
+    """A new folder in the shared one, which goes when the session ends."""
+    at = f"{space or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(remove_folder, spark, at)
+    return at
+
+
+def remove_folder(spark: SparkSession, at: str) -> None:
+    """Deletes a folder of the shared store, whichever store that is."""
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session has ended before: nothing is left to delete it with
+        pass
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir. Only a local session may do without one."""
     at = spark.conf.get("spark.checkpoint.dir", None)

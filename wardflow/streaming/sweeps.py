@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardflow.registry import query
 from wardflow.sources.tables import AS_OF, NOW, appointments, invoices, micros, sql, table
-from wardflow.streaming.jobs import events, shared_folder
+from wardflow.streaming.jobs import events, work_folder
 
 #: A sweep looks back this far behind its mark, for rows that were written late.
 OVERLAP_US = 2 * 3_600_000_000
@@ -26,18 +25,25 @@ def not_queued(items: DataFrame, queue: DataFrame, item_id: str) -> DataFrame:
     return items.dropDuplicates([item_id]).join(queue.select(item_id), item_id, "left_anti")
 
 
-def queue_stream(items: DataFrame, item_id: str, day: str, path: str, checkpoint: str) -> None:
-    """Takes what a stream of items holds now into a Parquet queue, each id of a day once. The queue has a folder for each
-    day, and a batch reads those of its own days only. A batch that is run again after a lost driver finds its own ids there
+#: Folders of a queue, by a hash of the id.
+QUEUE_PARTS = 64
+
+
+def queue_stream(items: DataFrame, item_id: str, path: str, checkpoint: str, parts: int = QUEUE_PARTS) -> None:
+    """Takes what a stream of items holds now into a Parquet queue, each id once, whenever it is offered. The queue has a folder for each
+    hash of ids, and a batch reads those of its own ids only. A batch that is run again after a lost driver finds its own ids there
     and adds none."""
     spark, schema = items.sparkSession, items.schema
+    hashed = F.pmod(F.xxhash64(F.col(item_id)), F.lit(parts)).cast("int")
 
     def take(batch: DataFrame, _: int) -> None:
-        days = [r[0] for r in batch.select(day).distinct().collect()]
-        held = spark.read.schema(schema).parquet(path).where(F.col(day).isin(days))
-        not_queued(batch, held, item_id).write.mode("append").partitionBy(day).parquet(path)
+        dealt = batch.withColumn("part", hashed)
+        # at most `parts` numbers come to the driver
+        touched = [r[0] for r in dealt.select("part").distinct().collect()]
+        held = spark.read.schema(dealt.schema).parquet(path).where(F.col("part").isin(touched))
+        not_queued(dealt, held, item_id).write.mode("append").partitionBy("part").parquet(path)
 
-    spark.createDataFrame([], schema).write.mode("ignore").partitionBy(day).parquet(path)
+    spark.createDataFrame([], schema).withColumn("part", F.lit(0)).write.mode("ignore").partitionBy("part").parquet(path)
     items.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
@@ -86,11 +92,11 @@ def queued_once(spark, sf_dir):
 @query("SELECT event_id, user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'view'")
 def stream_queued_once(spark, sf_dir):
     """The queue after two runs over the same events: each visit once."""
-    at = f"{shared_folder(spark)}/queue-{uuid.uuid4().hex}"
+    at = work_folder(spark, "queue")
     items = events(spark, sf_dir, stream=True).where("event_type = 'view'").select("event_id", "user_id", F.to_date("at").alias("day"))
     for run in "ab":
-        queue_stream(items, "event_id", "day", f"{at}/out", f"{at}/checkpoint-{run}")
-    return spark.read.schema(items.schema).parquet(f"{at}/out")
+        queue_stream(items, "event_id", f"{at}/out", f"{at}/checkpoint-{run}")
+    return spark.read.schema(items.schema).parquet(f"{at}/out").select(*items.columns)
 
 
 @query(sql("invoices", f"SELECT invoice_id, CASE WHEN balance_pence > 0 AND due_on < '{AS_OF}' THEN 'expired' WHEN balance_pence > 0 THEN 'active' ELSE 'used' END AS status, CASE WHEN balance_pence > 0 AND due_on < '{AS_OF}' THEN -balance_pence ELSE 0 END AS move_pence FROM invoices"))
