@@ -5,7 +5,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from wardflow.operators import cleaning as C
-from wardflow.operators import imports, paging, statements
+from wardflow.operators import figures, imports, paging, statements
 from wardflow.plans import opening, records
 from wardflow.sources import episodes
 from wardflow.streaming import jobs
@@ -29,7 +29,7 @@ def value(spark):
     ],
 )
 def test_figures(text, want):
-    found = statements.figures_of(text)
+    found = figures.figures_of(text)
     assert [f[:2] for f in found] == want
     assert all(text[at : at + len(raw)] == raw for _, _, raw, at in found)
 
@@ -37,7 +37,7 @@ def test_figures(text, want):
 def test_figures_stand_where_they_say(spark, sf):
     for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
         text = r.text or ""
-        assert all(text[at : at + len(raw)] == raw for _, _, raw, at in statements.figures_of(text))
+        assert all(text[at : at + len(raw)] == raw for _, _, raw, at in figures.figures_of(text))
 
 
 M = 30.4375

@@ -187,7 +187,7 @@ def register_functions(spark: SparkSession) -> list[str]:
     """Declares the functions in the session and returns their names. A table function lists the figures of a text."""
     from pyspark.sql.functions import udtf
 
-    from wardflow.operators.statements import figures_of
+    from wardflow.operators.figures import figures_of
 
     for name, body in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
