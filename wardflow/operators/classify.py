@@ -113,11 +113,16 @@ def suggest_mapping(fields: dict[str, list[str]], headers: list[str]) -> dict[st
     return out
 
 
+#: What may follow the answer that a printed condition names: nothing, an instruction, or the questions that it is about.
+_NO_MORE = r"\s*(?:$|[,.:;?–—)]|(?:please|give|say|state|describe|list|specify|explain|which|why|what|when)\b|(?:to|in|for|on)\b)"
+
+
 def condition_of(text: Column) -> Column:
     """What a printed condition asks of its questions: struct (wants: yes, no, other or filled; match: any or all); null if
-    it can't be read."""
-    low = F.lower(text)
-    wants = F.when(low.rlike(r"^\s*if\b.*\bother\b"), "other").when(low.rlike(r"^\s*if\b.*\b(no|not)\b"), "no").when(low.rlike(r"^\s*if\b.*\byes\b"), "yes").when(low.rlike(r"^\s*if\b.*\b(stated|given|specified)\b"), "filled")
+    it can't be read. "If you have not worked" names no answer, and isn't read."""
+    low = F.trim(F.lower(text))
+    said = F.regexp_extract(low, rf"^if (yes|so|no|not|other|(?:stated|given|specified)){_NO_MORE}", 1)
+    wants = F.when(said.isin("yes", "so"), "yes").when(said.isin("no", "not"), "no").when(said == "other", "other").when(said != "", "filled")
     return F.when(wants.isNotNull(), F.struct(wants.alias("wants"), F.when(low.rlike(r"\b(all|both|each)\b"), "all").otherwise("any").alias("match")))
 
 
