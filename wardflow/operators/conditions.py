@@ -327,12 +327,12 @@ FORM = [
     Question("n6", "If you have not worked, give reasons"),
     Question("n7", "If yes to question 1, describe it"),
 ]
-_yes = lambda q, word: f"CASE {q} WHEN 'yes' THEN {word == 'yes'} WHEN 'no' THEN {word == 'no'} END"
+_yes = lambda q, word: f"CASE {q} WHEN 'Yes' THEN {word == 'yes'} WHEN 'no' THEN {word == 'no'} END"
 
 
-@query(f"""WITH a AS (SELECT l_orderkey AS form, max(CASE WHEN l_linenumber = 1 THEN CASE l_returnflag WHEN 'A' THEN 'yes' WHEN 'R' THEN 'no' END END) AS q1, max(CASE WHEN l_linenumber = 2 THEN CASE l_returnflag WHEN 'A' THEN 'yes' WHEN 'R' THEN 'no' END END) AS q2,
-max(CASE WHEN l_linenumber = 3 THEN CASE WHEN l_partkey % 5 < 2 THEN 'full duties' WHEN l_partkey % 5 < 4 THEN 'light duties' ELSE 'other' END END) AS q3, max(CASE WHEN l_linenumber = 4 THEN l_partkey % 3 END) AS q4 FROM lineitem GROUP BY 1)
-SELECT form, ({_yes('q1', 'yes')}) OR ({_yes('q2', 'yes')}) AS n1, ({_yes('q1', 'yes')}) AND ({_yes('q2', 'yes')}) AS n2, {_yes('q2', 'no')} AS n3, q3 <> 'full duties' AS n4, q4 <> 0 AS n5, CAST(NULL AS BOOLEAN) AS n6, CAST(NULL AS BOOLEAN) AS n7, q3 = 'other' AS n8 FROM a""")
+@query(f"""WITH a AS (SELECT l_orderkey AS form, max(CASE WHEN l_linenumber = 1 THEN CASE l_returnflag WHEN 'A' THEN 'Yes' WHEN 'R' THEN 'no' END END) AS q1, max(CASE WHEN l_linenumber = 2 THEN CASE l_returnflag WHEN 'A' THEN 'Yes' WHEN 'R' THEN 'no' END END) AS q2,
+max(CASE WHEN l_linenumber = 3 THEN CASE WHEN l_partkey % 5 < 2 THEN 'Full  Duties' WHEN l_partkey % 5 < 4 THEN 'light duties' ELSE 'Other' END END) AS q3, max(CASE WHEN l_linenumber = 4 THEN CASE WHEN l_partkey % 3 = 0 THEN 'None reported.' ELSE 'task ' || l_partkey END END) AS q4 FROM lineitem GROUP BY 1)
+SELECT form, ({_yes('q1', 'yes')}) OR ({_yes('q2', 'yes')}) AS n1, ({_yes('q1', 'yes')}) AND ({_yes('q2', 'yes')}) AS n2, {_yes('q2', 'no')} AS n3, q3 <> 'Full  Duties' AS n4, q4 <> 'None reported.' AS n5, CAST(NULL AS BOOLEAN) AS n6, CAST(NULL AS BOOLEAN) AS n7, q3 = 'Other' AS n8 FROM a""")
 def conditions_compiled(spark, sf_dir):
     """Which conditional questions apply to each order, whose lines answer the questions before them by flag and part."""
     line, flag, part = F.col("l_linenumber"), F.col("l_returnflag"), F.col("l_partkey")
