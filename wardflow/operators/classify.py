@@ -173,8 +173,15 @@ def name_classes(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", payer_type(name).alias("payer_type"), referrer_kind(name).alias("referrer_kind"))
 
 
-@query(f"""SELECT c_custkey, CASE c_custkey % 9 WHEN 0 THEN 'dob' WHEN 1 THEN 'dob' WHEN 2 THEN 'number' WHEN 3 THEN 'number_or_phone' WHEN 4 THEN 'phone' WHEN 5 THEN 'email' WHEN 6 THEN 'words' ELSE 'nothing' END AS kind,
-CASE c_custkey % 7 WHEN 0 THEN 'M54.5' WHEN 1 THEN 'S93.4' WHEN 2 THEN 'M54' END AS code, CASE c_custkey % 7 WHEN 0 THEN 'SW1A' WHEN 1 THEN 'MK9' WHEN 2 THEN 'MK9' WHEN 4 THEN 'W1A' END AS district FROM customer""")
+_only = lambda x, chars: f"len(list_filter(string_split({x}, ''), lambda c: NOT contains('{chars}', c))) = 0"
+
+
+@query(f"""WITH t AS (SELECT c_custkey, trim({_pick_sql(_SEARCHES, "c_custkey")}) AS s, upper(trim({_pick_sql(_CODES, "c_custkey")})) AS c, upper(replace({_pick_sql(_POSTCODES, "c_custkey")}, ' ', '')) AS p FROM customer),
+u AS (SELECT *, len(list_filter(string_split(s, ''), lambda x: contains('0123456789', x))) AS digits, string_split(s, '/') AS d, string_split(s, '-') AS i, replace(c, '.', '') AS b FROM t)
+SELECT c_custkey, CASE WHEN coalesce(s, '') = '' THEN 'nothing' WHEN len(d) = 3 AND {_only("s", "0123456789/")} AND length(d[1]) <= 2 AND length(d[2]) <= 2 AND length(d[3]) = 4 OR len(i) = 3 AND {_only("s", "0123456789-")} AND length(i[1]) = 4 AND length(i[2]) = 2 AND length(i[3]) = 2 THEN 'dob'
+  WHEN digits > 0 AND {_only("s", "0123456789 +()-")} THEN CASE WHEN digits < 6 THEN 'number' WHEN digits < 8 THEN 'number_or_phone' ELSE 'phone' END WHEN contains(s, '@') THEN 'email' ELSE 'words' END AS kind,
+CASE WHEN length(b) BETWEEN 3 AND 5 AND left(b, 1) BETWEEN 'A' AND 'Z' AND {_only("b[2:3]", "0123456789")} AND (length(b) = length(c) OR c[4] = '.' AND length(c) > 4 AND length(c) = length(b) + 1) THEN b[:3] || CASE WHEN length(b) > 3 THEN '.' || b[4:] ELSE '' END END AS code,
+CASE WHEN length(p) >= 5 AND {_only("p[-3:-3]", "0123456789")} AND {_only("p[-2:]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")} AND left(p, 1) BETWEEN 'A' AND 'Z' THEN p[:-4] WHEN length(p) BETWEEN 2 AND 4 AND left(p, 1) BETWEEN 'A' AND 'Z' THEN p END AS district FROM u""")
 def typed_values(spark, sf_dir):
     """Kinds of search texts, diagnosis codes and postcode districts."""
     k = "c_custkey"

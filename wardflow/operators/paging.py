@@ -39,10 +39,10 @@ def _page_sql(name: str, before, after, size: int = 7) -> str:
 _SHOWN = " UNION ALL ".join(f"SELECT '{n}' AS page, event_id, (SELECT count(*) FROM e, b_{n} WHERE e.event_id < low) > 0 AS has_older, (SELECT count(*) FROM e, b_{n} WHERE e.event_id > top) > 0 AS has_newer FROM p_{n}" for n in _PAGES)
 
 
-@query("WITH e AS (SELECT event_id FROM events WHERE event_id < 1000),\n" + ",\n".join(_page_sql(n, *at) for n, at in _PAGES.items()) + "\n" + _SHOWN)
+@query("WITH e AS (SELECT event_id FROM events),\n" + ",\n".join(_page_sql(n, *at) for n, at in _PAGES.items()) + "\n" + _SHOWN)
 def audit_pages(spark, sf_dir):
-    """Pages of seven entries of the log's first part: the first, an older and a newer one, and the two ends."""
-    e, out = table(spark, sf_dir, "events").where("event_id < 1000").select("event_id"), None
+    """Pages of seven entries of the log: the first, two older ones and two newer ones than given entries."""
+    e, out = table(spark, sf_dir, "events").select("event_id"), None
     for name, (before, after) in _PAGES.items():
         page = keyset_pages(e, "event_id", 7, before, after).select(F.lit(name).alias("page"), "event_id", "has_older", "has_newer")
         out = page if out is None else out.unionByName(page)
@@ -50,8 +50,13 @@ def audit_pages(spark, sf_dir):
 
 
 def in_prefix(column: Column, prefix: str) -> Column:
-    """Strings that start with a prefix of one character or more, as a half-open range that a scan can push down."""
-    return (column >= F.lit(prefix)) & (column < F.lit(prefix[:-1] + chr(ord(prefix[-1]) + 1)))
+    """Strings that start with a prefix of one character or more, as a half-open range that a scan can push down. The range ends before the
+    prefix whose last character is the next one there is; behind the last of all characters nothing ends it."""
+    short = prefix.rstrip("\U0010ffff")
+    if not short:
+        return column >= F.lit(prefix)
+    last = 0xE000 if short[-1] == "\ud7ff" else ord(short[-1]) + 1
+    return (column >= F.lit(prefix)) & (column < F.lit(short[:-1] + chr(last)))
 
 
 @query("SELECT p_partkey, p_type FROM part WHERE starts_with(p_type, 'S') UNION ALL SELECT p_partkey, p_type FROM part WHERE starts_with(p_type, (SELECT left(min(p_type), 4) FROM part))")
