@@ -5,7 +5,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from wardflow.operators import cleaning as C
-from wardflow.operators import figures, imports, paging, statements
+from wardflow.operators import figures, imports, paging, repeats, statements
 from wardflow.plans import opening, records
 from wardflow.sources import episodes
 from wardflow.streaming import jobs
@@ -52,12 +52,12 @@ def test_bands(value, text, want):
 def test_repeats_need_figures_negation_and_contrast_to_agree(spark):
     texts = ["Lumbar flexion is limited by 50 percent today", "Today lumbar flexion is clearly limited by 50 percent", "Lumbar flexion is limited by 10 percent today", "Lumbar flexion is never limited by 50 percent today", "The left knee hurts when walking uphill slowly", "The right knee hurts when walking uphill slowly", "Short one"]
     rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc long, place long, sentence string")
-    assert {(r.place, r.twin) for r in statements.repeated_sentences_of(rows, "doc", "place").collect()} == {(1, 0)}
+    assert {(r.place, r.twin) for r in repeats.repeated_sentences_of(rows, "doc", "place").collect()} == {(1, 0)}
 
 
 def test_multisets(value):
     a = lambda *x: F.array(*map(F.lit, x))
-    assert value(statements.multiset_within(a(1, 1, 2), a(2, 1, 3, 1))) and not value(statements.multiset_within(a(1, 1), a(1, 2)))
+    assert value(repeats.multiset_within(a(1, 1, 2), a(2, 1, 3, 1))) and not value(repeats.multiset_within(a(1, 1), a(1, 2)))
 
 
 def test_validators_can_be_turned_off(spark):

@@ -1,22 +1,15 @@
-"""What texts state: sentences, figures and their support, durations in bands, repeated sentences, and checks of texts.
-
-Sentences come from marks that a chain of replacements sets after full stops and takes away again where no sentence ends,
-so that Spark and SQL split alike; their places are running sums of the pieces' lengths, worked out for whole Arrow batches.
-"""
+"""What texts state in durations and bands, items of orders, and checks of texts."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardflow.operators.figures import ONES, TEENS
-from wardflow.operators.sentence_spans import TERMS, sentences_sql, split_sentences
+from wardflow.operators.figures import ONES, TEENS, UNITS
+from wardflow.operators.repeats import multiset_within
+from wardflow.operators.sentence_spans import TERMS
 from wardflow.registry import query
 from wardflow.sources.tables import table
 
@@ -31,39 +24,60 @@ OVER, UNDER = r"(?:over|more than|greater than|longer than|>)", r"(?:under|less
 AFTER = r"\s*(?:\+|or more|and over|plus)"
 
 
-def _days(text: Column, form: str, k: int) -> Column:
-    word = F.regexp_extract(text, form, k)
+#: Signs of a text's tokens: what opens a band above or below, what closes one, and what joins a range. Cues of two words are one token.
+SIGNS = {"over": ">", "more_than": ">", "greater_than": ">", "longer_than": ">", ">": ">", "under": "<", "less_than": "<", "fewer_than": "<", "up_to": "<", "within": "<", "<": "<", "or_more": "+", "and_over": "+", "plus": "+", "+": "+", "-": "-", "–": "-", "—": "-", "to": "-"}
+_PAIRED = [w.split("_") for w in SIGNS if "_" in w]
+
+
+def _tokens(text: Column) -> tuple[Column, Column]:
+    """The tokens of a text, and one letter for each: N a number, U a unit, a sign, or x."""
+    t = F.lower(text)
+    for first, second in _PAIRED:
+        t = F.regexp_replace(t, rf"\b{first}\s+{second}\b", f"{first}_{second}")
+    tokens = F.regexp_extract_all(t, F.lit(r"(\d+(?:\.\d+)?|[a-z_]+|[^\sa-z0-9_])"), F.lit(1))
+    table_ = F.create_map(*[F.lit(x) for w, sign in ({w: "N" for w in FEW} | {w: "U" for w in UNITS} | SIGNS).items() for x in (w, sign)])
+    letter = lambda w: F.coalesce(F.element_at(table_, w), F.when(w.rlike(r"^\d"), "N").otherwise("x"))
+    return tokens, F.array_join(F.transform(tokens, letter), "")
+
+
+def _length(tokens: Column, at: Column, unit_at: Column) -> Column:
+    """Days of the number at a place, in the unit at another."""
     few = F.create_map(*[F.lit(x) for w, n in FEW.items() for x in (w, float(n))])
-    unit = F.create_map(*[F.lit(x) for w, n in UNIT_DAYS.items() for x in (w, n)])[F.substring(F.regexp_extract(text, form, 4), 1, 1)]
-    return F.coalesce(word.try_cast("double"), few[word]) * unit
+    days = F.create_map(*[F.lit(x) for w, n in UNIT_DAYS.items() for x in (w, n)])
+    word = F.get(tokens, at)
+    return F.coalesce(word.try_cast("double"), F.element_at(few, word)) * F.element_at(days, F.substring(F.get(tokens, unit_at), 1, 1))
+
+
+def _span(low: Column, high: Column) -> Column:
+    return F.struct(low.alias("low"), high.alias("high"))
 
 
 def band(text: Column) -> Column:
     """Struct (low, high) of days of a printed band: '0-3 months', 'over 12 months', '12 months +', 'up to 6 weeks'. high is
     null for an open one; null for what is no band."""
-    t = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
-    form = rf"^({OVER}|{UNDER})?\s*{_DUR}({AFTER})?\.?$"
-    lead, low, high = F.regexp_extract(t, form, 1), _days(t, form, 2), _days(t, form, 3)
-    span = F.when((lead == "") & high.isNotNull() & (F.regexp_extract(t, form, 5) == "") & (high >= low), F.struct(low.alias("low"), high.alias("high")))
-    single = high.isNull() & low.isNotNull()
-    above = single & (lead.rlike(f"^{OVER}$") & (F.regexp_extract(t, form, 5) == "") | (lead == "") & (F.regexp_extract(t, form, 5) != ""))
-    below = single & lead.rlike(f"^{UNDER}$") & (F.regexp_extract(t, form, 5) == "")
-    return F.coalesce(span, F.when(above, F.struct(low.alias("low"), F.lit(None).cast("double").alias("high"))), F.when(below, F.struct(F.lit(0.0).alias("low"), low.alias("high"))))
+    tokens, letters = _tokens(F.regexp_replace(F.trim(text), r"\.$", ""))
+    at = lambda i, u: _length(tokens, F.lit(i), F.lit(u))
+    none = F.lit(None).cast("double")
+    return (
+        F.when((letters == "N-NU") & (at(2, 3) >= at(0, 3)), _span(at(0, 3), at(2, 3)))
+        .when(letters == ">NU", _span(at(1, 2), none))
+        .when(letters == "NU+", _span(at(0, 1), none))
+        .when(letters == "<NU", _span(F.lit(0.0), at(1, 2)))
+    )
 
 
 def quoted_duration(text: Column) -> Column:
     """Struct (low, high) of the one duration that a quoted expectation states; null for none, or for more than one."""
-    t = F.regexp_replace(F.lower(text), r"\s+", " ")
-    form = rf"(?:\b(within|under|less than|up to|over|more than) )?\b{_DUR}\b"
-    low, high, lead = _days(t, form, 2), _days(t, form, 3), F.regexp_extract(t, form, 1)
+    tokens, letters = _tokens(text)
+    form = "N(?:-N)?U"
+    before = F.regexp_extract(letters, f"^(.*?){form}", 1)
+    i = F.length(before)
+    sign, ranged = F.right(before, F.lit(1)), F.substr(letters, i + 2, F.lit(1)) == "-"
+    unit = i + F.when(ranged, 3).otherwise(1)
+    low, high = _length(tokens, i, unit), _length(tokens, i + 2, unit)
     # a range that runs backwards is no duration
-    out = (
-        F.when(high.isNotNull(), F.when(high >= low, F.struct(low.alias("low"), high.alias("high"))))
-        .when(lead.isin("within", "under", "less than", "up to"), F.struct(F.lit(0.0).alias("low"), low.alias("high")))
-        .when(lead.isin("over", "more than"), F.struct(low.alias("low"), F.lit(None).cast("double").alias("high")))
-        .otherwise(F.struct(low.alias("low"), low.alias("high")))
-    )
-    return F.when(F.regexp_count(t, F.lit(form)) == 1, out)
+    out = F.when(ranged, F.when(high >= low, _span(low, high))).when(sign == "<", _span(F.lit(0.0), low)).when(sign == ">", _span(low, F.lit(None).cast("double"))).otherwise(_span(low, low))
+    return F.when(F.regexp_count(letters, F.lit(form)) == 1, out)
 
 
 def band_containing(duration: Column, options: list[str]) -> Column:
@@ -108,99 +122,7 @@ def duration_in_band(spark, sf_dir):
     return c.select("c_custkey", "d.low", "d.high", band_containing(F.col("d"), _BANDS).alias("band"))
 
 
-# ---- repeated sentences ----
-
-#: Words without content, words of contrast by kind, and negations.
-STOP = "a an the and or but of to in on at for with by from as is are was were be been has have had it its this that these those he she they we you i not no".split()
-CONTRAST = {"side": "left right bilateral".split(), "severity": "mild moderate severe slight".split(), "pattern": "constant intermittent occasional".split(), "direction": "better worse improved unchanged".split()}
-NEGATIONS = "no not nil none never nothing neither nor without denies denied absent".split()
-
-
-def sentence_facts(rows: DataFrame) -> DataFrame:
-    """Adds to rows with `sentence`: words, content (distinct content words), values (sorted figures, repeats kept), denied
-    (whether it negates) and contrast (words of contrast), for sentences of five words and three content words or more."""
-    all_ = F.regexp_extract_all(F.lower("sentence"), F.lit(r"([\p{L}]+(?:['’][\p{L}]+)?)"), F.lit(1))
-    picked = lambda words: F.array_sort(F.array_distinct(F.filter("all_", lambda w: w.isin(*words))))
-    out = rows.withColumn("all_", all_).withColumns(
-        {
-            "words": F.size("all_"),
-            "content": F.array_sort(F.array_distinct(F.filter("all_", lambda w: (F.length(w) > 1) & ~w.isin(*STOP)))),
-            "values": F.array_sort(F.regexp_extract_all("sentence", F.lit(r"(\d+(?:[./,:-]\d+)*)"), F.lit(1))),
-            "denied": F.size(picked(NEGATIONS)) > 0,
-            "contrast": picked([w for ws in CONTRAST.values() for w in ws]),
-        }
-    )
-    return out.where((F.col("words") >= 5) & (F.size("content") >= 3)).drop("all_")
-
-
-def multiset_within(a: Column, b: Column) -> Column:
-    """Whether every item of array a is in array b at least as often."""
-    times = lambda items, x: F.size(F.filter(items, lambda y: y == x))
-    return F.forall(F.array_distinct(a), lambda x: times(a, x) <= times(b, x))
-
-
-def _no_clash(a: Column, b: Column) -> Column:
-    """Whether words of contrast agree: of each kind that both have, one's are among the other's."""
-    out = F.lit(True)
-    for words in CONTRAST.values():
-        x, y = (F.array_intersect(c, F.array(*map(F.lit, words))) for c in (a, b))
-        both = F.size(F.array_intersect(x, y))
-        out = out & ((F.size(x) == 0) | (F.size(y) == 0) | (both == F.least(F.size(x), F.size(y))))
-    return out
-
-
-def repeated_sentences_of(rows: DataFrame, key: str, order: str, share: float = 0.8) -> DataFrame:
-    """(key, order, twin): sentences that say what an earlier one of their key says, with the earliest such one.
-
-    Two sentences repeat if the smaller one's content words are in the other to `share`, the figures of one are all in the
-    other's, both or neither negate, and no words of contrast clash. Equal facts are one class, so that a line repeated a
-    thousand times is one row; classes of one key meet on a word that must be shared: the smaller one's rarest.
-    """
-    facts = sentence_facts(rows)
-    same = [key, "content", "values", "denied", "contrast"]
-    classes = facts.groupBy(*same).agg(F.min(order).alias("first")).withColumn("size", F.size("content"))
-    word = classes.select(key, "first", "size", F.explode("content").alias("w"))
-    rare = word.groupBy(key, "w").agg(F.count("*").alias("df"))
-    probes = word.join(rare, [key, "w"]).groupBy(key, "first", "size").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
-    probes = probes.select(key, F.col("first").alias("a"), F.col("size").alias("na"), F.explode(F.slice("o", F.lit(1), (F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1).cast("int"))).alias("p")).select(key, "a", "na", F.col("p.w").alias("w"))
-    met = probes.join(word.select(key, F.col("first").alias("b"), F.col("size").alias("nb"), "w"), [key, "w"]).where("a <> b AND (na < nb OR na = nb)").select(key, "a", "b").distinct()
-    of = lambda p: classes.select(key, F.col("first").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in same[1:]])
-    pairs = met.join(of("a"), [key, "a"]).join(of("b"), [key, "b"])
-    shared = F.size(F.array_intersect("a_content", "b_content"))
-    alike = (shared >= F.size("a_content") * share - 1e-9) & (multiset_within(F.col("a_values"), F.col("b_values")) | multiset_within(F.col("b_values"), F.col("a_values"))) & (F.col("a_denied") == F.col("b_denied")) & _no_clash(F.col("a_contrast"), F.col("b_contrast"))
-    found = pairs.where(alike).select(key, "a", "b")
-    least = found.unionByName(found.select(key, F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(key, F.col("a").alias("first")).agg(F.min("b").alias("near"))
-    twin = classes.join(least, [key, "first"], "left").withColumn("twin", F.least("first", F.coalesce("near", "first"))).select(*same, "twin")
-    return facts.join(twin, same).where(F.col("twin") < F.col(order)).select(key, order, "twin")
-
-
-_SPLIT = r"list_sort(list_distinct(list_filter({w}, lambda x: {test})))"
-_IN = lambda words: f"list_contains([{', '.join(map(repr, words))}], x)"
-_REPEATS = (
-    "WITH "
-    + sentences_sql("documents")
-    + rf""", f AS (SELECT doc_id, n AS place, regexp_extract_all(lower(sentence), '[\p{{L}}]+(?:[''’][\p{{L}}]+)?') AS w, list_sort(regexp_extract_all(sentence, '[0-9]+(?:[./,:-][0-9]+)*')) AS vals FROM sentences),
-g AS (SELECT doc_id, place, vals, {_SPLIT.format(w="w", test="length(x) > 1 AND NOT " + _IN(STOP))} AS content, len(list_filter(w, lambda x: {_IN(NEGATIONS)})) > 0 AS denied, {_SPLIT.format(w="w", test=_IN([x for ws in CONTRAST.values() for x in ws]))} AS contrast FROM f WHERE len(w) >= 5),
-h AS (SELECT * FROM g WHERE len(content) >= 3),
-c AS (SELECT doc_id, content, vals, denied, contrast, min(place) AS first FROM h GROUP BY ALL),
-u AS (SELECT doc_id, first, len(content) AS size, unnest(content) AS w FROM c),
-m AS (SELECT a.doc_id, a.first AS a, b.first AS b FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.w = b.w AND a.first <> b.first AND a.size <= b.size GROUP BY 1, 2, 3, a.size HAVING count(*) >= a.size * 0.8::DOUBLE - 1e-9),
-k AS (SELECT m.* FROM m JOIN c x ON x.doc_id = m.doc_id AND x.first = m.a JOIN c y ON y.doc_id = m.doc_id AND y.first = m.b WHERE x.denied = y.denied
-AND (len(list_filter(list_distinct(x.vals), lambda v: len(list_filter(x.vals, lambda z: z = v)) > len(list_filter(y.vals, lambda z: z = v)))) = 0 OR len(list_filter(list_distinct(y.vals), lambda v: len(list_filter(y.vals, lambda z: z = v)) > len(list_filter(x.vals, lambda z: z = v)))) = 0)
-AND """
-    + " AND ".join(f"(len(list_intersect(x.contrast, {ws})) = 0 OR len(list_intersect(y.contrast, {ws})) = 0 OR len(list_intersect(list_intersect(x.contrast, {ws}), y.contrast)) = least(len(list_intersect(x.contrast, {ws})), len(list_intersect(y.contrast, {ws}))))" for ws in CONTRAST.values())
-    + """),
-n AS (SELECT doc_id, first, min(near) AS near FROM (SELECT doc_id, a AS first, b AS near FROM k UNION ALL SELECT doc_id, b, a FROM k) GROUP BY 1, 2)
-SELECT h.doc_id, h.place, least(c.first, coalesce(n.near, c.first)) AS twin FROM h JOIN c ON h.doc_id = c.doc_id AND h.content = c.content AND h.vals = c.vals AND h.denied = c.denied AND h.contrast = c.contrast LEFT JOIN n ON n.doc_id = c.doc_id AND n.first = c.first
-WHERE least(c.first, coalesce(n.near, c.first)) < h.place"""
-)
-
-
-@query(_REPEATS)
-def near_dup_sentences(spark, sf_dir):
-    """Sentences of a document that say again what an earlier one of it says; place is the sentence's number."""
-    s = split_sentences(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.col("n").alias("place"), "sentence")
-    return repeated_sentences_of(s, "doc_id", "place")
+# ---- items of orders ----
 
 
 @query("""WITH o AS (SELECT o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS later FROM orders),
