@@ -293,3 +293,28 @@ def repair(rows: DataFrame, space: Workspace, segment: int = SEGMENT, fan: int =
     every = rows.select("conv_id", conv, turn.cast("long").alias("turn")).groupBy("conv", "conv_id").agg(gaps.alias("gaps"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return every.join(whole.join(shas, "conv"), "conv", "left").select("conv_id", "gaps", *[zero(c) for c in ("blank", "duplicate", "truncated", "illegal", "cost")], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
+
+
+#: The whole query in SQL: crc32 bit by bit, and one recursion over whole conversations, which carries the repaired text with the audit.
+ORACLE = r"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+hashed AS (SELECT *, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(k, ''), lambda c: ord(c)::UBIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda z, i: CASE WHEN z & 1 = 1 THEN xor(z >> 1, 3988292384::UBIGINT) ELSE z >> 1 END)), 4294967295::UBIGINT) % 20 AS kind FROM keyed),
+damaged AS (SELECT coalesce('v' || conv_id, 'n') AS conv, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hashed),
+placed AS (SELECT conv, turn, role, text, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) AS k, rtrim(text, E' \t\n\x0B\f\r') AS bare FROM damaged),
+judged AS (SELECT *, left(role, 1) AS initial, CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY k) > 1 THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '.' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY k) AS before FROM placed),
+best AS (
+  SELECT conv, 0 AS state, 0::BIGINT AS k, {'cost': 0, 'audit': '', 'text': NULL::VARCHAR} AS path FROM judged GROUP BY conv
+  UNION ALL
+  SELECT conv, target, k, min({'cost': cost, 'audit': audit, 'text': text}) FROM (
+    SELECT b.conv, f.k, CASE edit WHEN 'D' THEN mid WHEN 'R' THEN CASE mid WHEN 2 THEN 3 ELSE 2 END ELSE CASE WHEN initial = 'u' AND mid <> 2 THEN 2 WHEN initial = 'a' AND mid = 2 THEN 3 WHEN initial = 's' AND mid = 0 THEN 1 END END AS target,
+      b.path.cost + 5 * ins + CASE edit WHEN 'D' THEN 2 ELSE CASE edit WHEN 'R' THEN 1 ELSE 0 END + CASE fault WHEN 't' THEN 5 ELSE 0 END END AS cost, b.path.audit || CASE ins WHEN 1 THEN 'I' ELSE '' END || edit AS audit,
+      nullif(concat_ws(chr(10), b.path.text, CASE WHEN ins = 1 THEN CASE b.state WHEN 2 THEN 'assistant:' ELSE 'user:' END END, CASE edit WHEN 'K' THEN f.role || ':' || f.text WHEN 'R' THEN CASE mid WHEN 2 THEN 'assistant:' ELSE 'user:' END || f.text END), '') AS text
+    FROM (SELECT *, CASE WHEN ins = 1 THEN CASE state WHEN 2 THEN 3 ELSE 2 END ELSE state END AS mid FROM best, (VALUES (0), (1)) i(ins)) b JOIN judged f ON f.conv = b.conv AND f.k = b.k + 1, (VALUES ('K'), ('R'), ('D')) e(edit) WHERE edit = 'D' OR fault NOT IN ('b', 'd')
+  ) WHERE target IS NOT NULL GROUP BY conv, target, k),
+ended AS (SELECT conv, min({'cost': path.cost + CASE state WHEN 2 THEN 5 ELSE 0 END, 'audit': path.audit || CASE state WHEN 2 THEN 'I' ELSE '' END, 'text': nullif(concat_ws(chr(10), path.text, CASE state WHEN 2 THEN 'assistant:' END), '')}) AS path
+  FROM best JOIN (SELECT conv, max(k) AS k FROM judged GROUP BY conv) USING (conv, k) WHERE state <> 1 GROUP BY conv),
+counted AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(path.cost, 0)::BIGINT AS cost, coalesce(path.audit, '') AS audit, sha256(coalesce(path.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counted d ON d.conv = coalesce('v' || c.conv_id, 'n') LEFT JOIN ended e ON e.conv = d.conv
+"""

@@ -87,4 +87,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": decontaminate.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op11_collocations": collocations.ORACLE}
+    return {"op5_decontaminate": decontaminate.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op11_collocations": collocations.ORACLE, "op12_conversation_repair": conversations.ORACLE}
