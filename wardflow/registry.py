@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("plans.attendance", "plans.money", "plans.liabilities", "plans.opening", "plans.records", "operators.ledger", "operators.intervals", "operators.admission", "operators.relational", "operators.cleaning", "operators.text", "operators.sentence_spans", "operators.figures", "operators.repeats", "operators.statements", "operators.classify", "operators.conditions", "operators.record_checks", "operators.imports", "operators.paging", "functions.scalars", "functions.calendar", "streaming.jobs", "streaming.sweeps", "streaming.steps", "sources.episodes")
+MODULES = ("plans.attendance", "plans.money", "plans.liabilities", "plans.opening", "plans.records", "operators.ledger", "operators.intervals", "operators.admission", "operators.relational", "operators.cleaning", "operators.text", "operators.sentence_spans", "operators.figures", "operators.repeats", "operators.statements", "operators.classify", "operators.conditions", "operators.record_checks", "operators.imports", "operators.paging", "functions.scalars", "functions.calendar", "streaming.jobs", "streaming.sweeps", "streaming.steps", "sources.episodes", "sources.printed")
 _QUERIES: dict[str, Callable] = {}
 _ORACLES: dict[str, str] = {}
 
