@@ -8,8 +8,9 @@ losers draw again until every name has a surrogate of its own. Parts of a name k
 "Dr Weber" follows "Anna Weber"; and what was found as a name part once in a text is replaced wherever it stands alone
 in that text.
 
-Names are found by a title, by a listed given name, by what says that a name follows ("my name is", "Ansprechpartner:",
-"меня зовут"), or by the mail address beside them that repeats them. A name without any of these is not found.
+Names are found by a title, by a listed given name (particles between it and the last name, or 's behind it), by what says that a name follows ("my name is", "Ansprechpartner:",
+"меня зовут", "Contact Last, First"), or by the mail address beside them that repeats them. A name without any of these is not found. Secrets are found
+by the word before them in the languages of the names, or by the shape of keys that services give out.
 
 The key is the caller's: who has it can undo the permutations, so it must not stand in code. Equal keys give equal
 surrogates in every run.
@@ -55,12 +56,20 @@ _TITLED = {t: g for g, ts in TITLES.items() for t in ts}
 #: What comes before a name, in the languages of the given names.
 CUES = ("my name is", "name:", "contact:", "signed", "sincerely,", "ich heiße", "mein name ist", "ansprechpartner:", "kontakt:", "je m'appelle", "je m’appelle", "nom :", "contact :", "me llamo", "mi nombre es", "contacto:", "меня зовут", "контакт:", "με λένε", "ονομάζομαι", "επικοινωνία:")
 _CAP = r"[A-ZÀ-ÖØ-ÞА-ЯΑ-ΩΆ-Ώ][\w’'-]*[^\W\d_]"
-_SECRET = "token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key"
+#: Words before a secret, in the languages of the given names. Behind a password's, one word that ends a clause is a secret without a digit too.
+_PASSWORD = "password|passwd|pwd|passwort|kennwort|mot de passe|contraseña|пароль|κωδικός"
+_SECRET = f"token|secret|api[_-]?key|access[_-]?key|{_PASSWORD}"
+#: Beginnings of keys and tokens that services give out.
+_ISSUED = ("AKIA", "gh[pousr]_", "xox[abprs]-", "sk-", "eyJ", "(?i:bearer)")
+_PARTICLES = "van von de der den del della di da dos la le zu zur ter ten bin ibn al".split()
 PATTERNS = {
     "secret": re.compile(rf"(?i)(?<![^\W_])(?:{_SECRET})\b[\"']?\s*(?:[=:]\s*[\"']([^\"'\s]{{6,}})[\"']|=\s*([^\"'\s,;]{{6,}})|:\s*(?=[^\"'\s,;]*\d)([^\"'\s,;]{{5,}}))"),
+    "word": re.compile(rf"(?im)(?<![^\W_])(?:{_PASSWORD})\s*:\s*([^\s\"',;]{{5,}}[^\W_])(?=[.,;)]?\s*$|[.,;)]\s)"),
+    "issued": re.compile(r"(?<![\w-])(?:AKIA[0-9A-Z]{12,}|gh[pousr]_[0-9A-Za-z]{16,}|xox[abprs]-[0-9A-Za-z-]{10,}|sk-[0-9A-Za-z_-]{16,}|eyJ[\w-]{6,}\.[\w-]{6,}(?:\.[\w-]+)?|(?<=[Bb]earer )[\w.~+/-]{16,})(?![\w-])"),
     "hex": re.compile(r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{32,}(?![0-9A-Za-z])"),
     "mail": re.compile(r"(?<![\w.+-])[\w.+%-]*\w@(?:[\w-]+\.)+[^\W\d_]{2,}"),
     "ip": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\w)"),
+    "ip6": re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:.]*[\w:])"),
     "account": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)"),
     "social": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "card": re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"),
@@ -70,11 +79,13 @@ PATTERNS = {
 _COMPLETE = re.compile(r"\d{13,19}(?!\d)|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?!\d)|\d{4}([ -])\d{6}\2\d{5}(?!\d)")
 _PREFIX = re.compile(r"(?:\+\d{1,3}[ .-]|\)[ .-]?)$")
 CUED = re.compile(rf"(?<!\w)(?i:{'|'.join(map(re.escape, CUES))})\s+(?P<first>{_CAP}) (?P<rest>{_CAP})(?!\w)")
+TURNED = re.compile(rf"(?<!\w)(?i:contact|kontakt|contacto|контакт|επικοινωνία|{'|'.join(map(re.escape, CUES))})\s+(?P<rest>(?=\w{{3}}){_CAP}), (?P<first>(?=\w{{3}}){_CAP})(?!\w)")
+OWNS = re.compile(rf"(?<!\w)(?P<given>{'|'.join(sorted(_KNOWN, key=len, reverse=True))})(?=[’']s(?!\w))")
 BESIDE = re.compile(rf"(?<!\w)(?P<first>{_CAP}) (?P<rest>{_CAP})(?= ?[<(,:]? ?(?P<mail>[\w.+%-]*\w)@)")
-NAME = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(sorted(_TITLED, key=len, reverse=True))})\.? (?P<titled>{_CAP}(?: {_CAP})?)|(?P<given>{'|'.join(sorted(_KNOWN, key=len, reverse=True))}) (?P<last>{_CAP}))(?!\w)")
+NAME = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(sorted(_TITLED, key=len, reverse=True))})\.? (?P<titled>{_CAP}(?: {_CAP})?)|(?P<given>{'|'.join(sorted(_KNOWN, key=len, reverse=True))}) (?:(?:{'|'.join(_PARTICLES)}) ){{0,3}}(?P<last>{_CAP}))(?!\w)")
 #: What every entity has, for RE2, whose \b and \d know ASCII only: a digit of any script, an at sign, a name or title
 #: (as part of a longer word too), a secret's keyword, or a cue.
-_SOME = rf"[\p{{Nd}}@]|{'|'.join([*_TITLED, *_KNOWN])}|(?i:{_SECRET}|{'|'.join(map(re.escape, CUES))})"
+_SOME = rf"[\p{{Nd}}@]|{'|'.join([*_TITLED, *_KNOWN, *_ISSUED])}|(?i:{_SECRET}|contact|kontakt|контакт|επικοινωνία|{'|'.join(map(re.escape, CUES))})"
 
 
 def _plain(c: str) -> str:
@@ -139,6 +150,10 @@ class Keyed:
         """The surrogate of a value of any kind but names."""
         if kind == "secret" and PATTERNS["hex"].fullmatch(value):
             kind = "hex"
+        if kind == "ip6":
+            digits = [int(c, 16) for c in value if c != ":"]
+            new = iter(self.permuted(f"{kind}{re.sub('[^:]', 'x', value)}", digits, 16))
+            return "".join(c if c == ":" else f"{next(new):X}" if c.isupper() else f"{next(new):x}" for c in value)
         if kind == "ip":
             number = [int(c) for c in f"{int.from_bytes(bytes(map(int, value.split('.'))), 'big'):032b}"]
             return ".".join(map(str, int("".join(map(str, self.permuted(kind, number, 2))), 2).to_bytes(4, "big")))
@@ -248,7 +263,8 @@ def _names(text: str) -> list[tuple[int, int, str, str]]:
                 found.append((at, at + len(parts[0]), f"name:{'f' if role == 'f' else 'm'}", parts[0]))
                 at += len(parts[0]) + 1
             found.append((at, at + len(parts[-1]), "name:s", parts[-1]))
-    for m in [*CUED.finditer(text), *BESIDE.finditer(text)]:
+    found += [(*m.span("given"), f"name:{_KNOWN[m['given']]}", m["given"]) for m in OWNS.finditer(text)]
+    for m in [*CUED.finditer(text), *TURNED.finditer(text), *BESIDE.finditer(text)]:
         if "mail" not in m.groupdict() or m["rest"].casefold() in m["mail"].casefold():
             found += [(*m.span("first"), f"name:{_role(m['first'])}", m["first"]), (*m.span("rest"), "name:s", m["rest"])]
     return found
@@ -261,7 +277,8 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         if kind in ("card", "phone"):
             continue
         for m in pattern.finditer(text):
-            a, b = m.span(m.lastindex) if kind == "secret" else m.span()
+            a, b = m.span(m.lastindex or 0)
+            kind = "secret" if kind in ("word", "issued") else kind
             found.append((a, b, kind, text[a:b]))
             # a card or phone next to it must not take its digits, unless they follow a phone's own prefix
             if kind not in ("ip", "social") or not _PREFIX.search(text, max(0, a - 8), a):
