@@ -1,4 +1,5 @@
-"""The pipeline's five stages over supplied and tricky rows, each recomputed in plain Python from what the stage before wrote."""
+"""The pipeline's five stages over supplied and tricky rows, from what the stage before wrote: near-dedup, decontamination, the mix by source and token ids
+in plain Python; the learned part of the quality stage against operator 6."""
 
 import re
 import zlib
@@ -25,6 +26,22 @@ def base_failed(text):
     return len(w) < 50 or 100 * again > 50 * len(w)
 
 
+def plain_targets(sizes):
+    """Words that the mix is to take of each source."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    target, free, left = {}, set(order), 1.5 * sum(sizes.values())
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = [s for s in free if level * weight[s] > 2 * sizes[s]]
+        if not over:
+            return target | {s: level * weight[s] for s in free}
+        for s in over:
+            target[s], left = 2.0 * sizes[s], left - 2 * sizes[s]
+            free.remove(s)
+    return target
+
+
 def key(r):
     return (r.doc_id is None, r.doc_id or 0, r.text or "")
 
@@ -71,6 +88,14 @@ def test_all_stages(which, spark, sf, tricky, space):
         assert r.n_chars == len(r.text)
     assert {k: v for k, v in taken.items() if v} == dict(got)
     assert all(taken[d] <= 2 * size[d] for d in taken)
+    sizes, mixed_words = defaultdict(int), defaultdict(int)
+    for r in clean:
+        sizes[r.source] += len(WORD.findall(r.text or ""))
+    for r in mixed:
+        mixed_words[r.source] += len(WORD.findall(r.text or ""))
+    for s, target in plain_targets(sizes).items():
+        block = min(mixing.BLOCK, max(1, -(-sizes[s] // mixing.LEAST_BLOCKS)))
+        assert abs(mixed_words[s] - target) <= 1.5 * block, s
 
     from tokenizers import Tokenizer
 
