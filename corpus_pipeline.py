@@ -3,8 +3,11 @@
 Quality rules drop what the base rule or the learned decision list rejects; SimHash near-dedup keeps one document of
 each component of five-word Jaccard similarity 0.8 or more; decontamination drops documents that hold a benchmark item;
 mixing takes words of each source towards its target (a document comes once for each pass over its source that takes
-words of it); token ids are written as Simple-8b files and read back. No stage can be said in SQL as a whole; tests/llm
-recomputes all five in plain Python.
+words of it, in the order of the mix); token ids are written as Simple-8b files and read back. No stage can be said in SQL as a whole; tests/llm
+recomputes near-dedup, decontamination, the mix by source and token ids in plain Python, and holds the quality stage against operator 6's own verdicts.
+
+Null texts, ids and sources, empty and very long texts, ties, repeated rows and columns of clashing names go through as each operator says;
+an empty table gives an empty result; a row without a source is of a source of its own.
 
 A stage's result reads tables in a work folder of the stage's own. It must be written before the next stage begins, as
 run() does: then the folder is cleared, so that no more than one stage's tables are on disk.
