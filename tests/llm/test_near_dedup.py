@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -82,3 +83,16 @@ def test_roots_clusters_and_blocks_lose_no_link(planted, spark, space, monkeypat
     labels = {r.v: r.label for r in got.collect()}
     assert {i: labels.get(i, i) for i, _ in rows} == {i: least[root] for (i, _), root in zip(rows, want, strict=True)}
     assert len(set(want)) < len(rows) - 60
+
+
+def test_documents_that_share_a_shingle_only_make_no_cluster(spark):
+    """300 unlike documents under one root, two near copies among them: one edge, not a star of all."""
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(10_000)}" for _ in range(60)) for _ in range(299)]
+    texts.append(texts[5] + " more")
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    known = near_dedup.marks(rows, near_dedup.common_shingles(rows)).select("id", "fp", "fp2").toPandas()
+    batch = pa.RecordBatch.from_pydict({"x": pa.array([1] * 300, pa.int64()), **{c: pa.array(known[c]) for c in known}})
+    for node in (near_dedup.NODE, 1_000):
+        out = [b.to_pydict() for b in near_dedup._met(near_dedup.BUDGET, node)(iter([batch]))]
+        assert [set(e) for b in out for e in zip(b["a"], b["b"])] == [{5, 299}]

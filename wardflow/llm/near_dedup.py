@@ -5,7 +5,8 @@ tries of operator 3 get other roots: every shingle of a document's prefix roots
 Under any one order of all shingles, sets alike to the threshold share one of their first n - ceil(0.8 n) + 1, so pairs
 meet under some root; there the trie is walked, pairs of nodes together, and what differs in over BUDGET bits goes. The
 order puts shingles that are common in a part of the corpus last; that part decides the cost only, never the pairs.
-A root with over NODE documents is not walked: its documents are taken as one cluster.
+What the walk finds must also agree in a second fingerprint, within BOTH bits of the two, so that documents which share a shingle
+and no more don't string together into clusters that outgrow the corpus. A root with over NODE documents is not walked: its fingerprints are compared in blocks.
 
 What met is verified on whole sets: components of the candidates are cut into blocks of bounded size, a task compares
 one pair of blocks, and only a forest of the links leaves it. Documents with equal sets are one class from the start.
@@ -32,8 +33,11 @@ WORDS = 5
 THRESHOLD = 0.8
 #: Differing bits of 64 beyond which a pair isn't verified; at 0.8 the mean is 9.7 and one pair in 3,000 has more than 20.
 BUDGET = 20
-#: Documents under one shingle beyond which they are one cluster without a walk.
+#: Differing bits of the 128 of both fingerprints beyond which a pair isn't verified: at 0.8 the mean is 19.4, so about one pair in 10^6 is lost by it; of unlike ones 64.
+BOTH = 40
+#: Documents under one shingle beyond which their fingerprints are compared in blocks instead of a walk; fingerprints compared at once.
 NODE = 64
+COMPARED = 2_000_000
 #: Shingles of a block of a cluster, about; members from which a block's pairs are counted by a matrix product.
 BLOCK_SHINGLES = 200_000
 MANY = 24
@@ -73,6 +77,11 @@ def fingerprint(shingles: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(shingles), bitorder="little").view(np.int64)[0])
 
 
+def second_fingerprint(shingles: np.ndarray) -> int:
+    """A 64-bit SimHash that doesn't depend on the first."""
+    return fingerprint(mix64(shingles.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)).view(np.int64)) if len(shingles) else 0
+
+
 def prefix_size(n: int, threshold: float = THRESHOLD) -> int:
     return n - int(np.ceil(n * threshold - 1e-9)) + 1 if n else 0
 
@@ -109,7 +118,7 @@ def common_shingles(rows: DataFrame, counted: int = COUNTED) -> tuple[np.ndarray
 
 
 def marks(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
-    """id, set (a digest of the shingle set), n (its size), fp (its fingerprint), prefix (hashes) of rows (id, text)."""
+    """id, set (a digest of the shingle set), n (its size), fp and fp2 (its fingerprints), prefix (hashes) of rows (id, text)."""
     known = rows.sparkSession.sparkContext.broadcast(common)
 
     def made(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -121,56 +130,87 @@ def marks(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], threshold: flo
                 at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                 rank = np.where(common[at] == s, levels[at], 0)
             prefixes.append(s[np.lexsort((s, rank))][: prefix_size(len(s), threshold)].tobytes())
-        out = {"id": ids, "set": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), "n": pa.array([len(s) for s in sets], pa.int64()), "fp": pa.array([fingerprint(s) for s in sets], pa.int64()), "prefix": pa.array(prefixes, pa.binary())}
+        out = {"id": ids, "set": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), "n": pa.array([len(s) for s in sets], pa.int64()), "fp": pa.array([fingerprint(s) for s in sets], pa.int64()), "fp2": pa.array([second_fingerprint(s) for s in sets], pa.int64()), "prefix": pa.array(prefixes, pa.binary())}
         return pa.RecordBatch.from_pydict(out)
 
-    return _mapped(rows, made, "id long, set binary, n long, fp long, prefix binary")
+    return _mapped(rows, made, "id long, set binary, n long, fp long, fp2 long, prefix binary")
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row (x, id, fp) for each prefix shingle x."""
+    """One row (x, id, fp, fp2) for each prefix shingle x."""
     for batch in batches:
         x = [np.frombuffer(p, np.int64) for p in batch.column("prefix").to_pylist()]
         sizes = [len(v) for v in x]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)), pa.array(np.repeat(batch.column("id").to_numpy(), sizes)), pa.array(np.repeat(batch.column("fp").to_numpy(), sizes))], ["x", "id", "fp"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)), *[pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("id", "fp", "fp2")]], ["x", "id", "fp", "fp2"])
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b)
+
+
+def compared(fp: np.ndarray, fp2: np.ndarray, both: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the pairs of documents of one root that differ in no more than `both` bits. Those near one document are tied by it and aren't compared
+    with each other; every other document is compared with all."""
+
+    def near(i: np.ndarray) -> np.ndarray:
+        return _apart(fp[i, None], fp[None, :]) + _apart(fp2[i, None], fp2[None, :]) <= both
+
+    some = np.unique(np.linspace(0, len(fp) - 1, 8).astype(np.int64))
+    ties = near(some)
+    lead = int(ties.sum(axis=1).argmax())
+    tied, rest = np.flatnonzero(ties[lead]), np.flatnonzero(~ties[lead])
+    left, right = [np.full(len(tied), some[lead])], [tied]
+    step = max(1, COMPARED // len(fp))
+    for lo in range(0, len(rest), step):
+        a, b = np.nonzero(near(rest[lo : lo + step]))
+        a = rest[lo + a]
+        a, b = forest(a[a != b], b[a != b]) if len(a) else (a, b)
+        left.append(a)
+        right.append(b)
+    return np.concatenate(left), np.concatenate(right)
 
 
-def _met(budget: int, node: int):
-    """From rows (x, id, fp) in the order of x: a forest (a, b) of candidate edges, found by a trie walk under each x, or a
-    star beyond `node`."""
+def _met(budget: int, node: int, both: int = BOTH):
+    """From rows (x, id, fp, fp2) in the order of x: a forest (a, b) of candidate edges, found by a trie walk under each x, or in
+    blocks beyond `node`."""
 
-    def edges(x: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> list[np.ndarray]:
+    def edges(x: np.ndarray, ids: np.ndarray, fps: np.ndarray, fps2: np.ndarray) -> np.ndarray:
         cut = np.flatnonzero(np.r_[True, x[1:] != x[:-1], True])
         sizes = np.diff(cut)
         group = np.repeat(np.arange(len(sizes)), sizes)
         some = (sizes[group] > 1) & (sizes[group] <= node)
-        g, i, f = group[some], ids[some], fps[some].view(np.uint64)
+        g, i, f, f2 = group[some], ids[some], fps[some].view(np.uint64), fps2[some].view(np.uint64)
         order = np.lexsort((f, g))
-        g, i, f = g[order], i[order], f[order]
+        g, i, f, f2 = g[order], i[order], f[order], f2[order]
         left, right = walk(g, f, budget)
-        large = sizes[group] > node
-        return [np.stack((i[left], i[right]), 1), np.stack((ids[cut[:-1]][group[large]], ids[large]), 1)]
+        near = _apart(f[left], f[right]) + _apart(f2[left], f2[right]) <= both
+        out = [np.stack((i[left[near]], i[right[near]]), 1)]
+        for k in np.flatnonzero(sizes > node):
+            at = slice(cut[k], cut[k + 1])
+            a, b = compared(fps[at].view(np.uint64), fps2[at].view(np.uint64), both)
+            out.append(np.stack((ids[at][a], ids[at][b]), 1))
+        return np.concatenate(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
+        columns = ("x", "id", "fp", "fp2")
+        held, parts, rows = [np.zeros(0, np.int64)] * len(columns), [], 0
 
-        def out(parts: list[np.ndarray]) -> pa.RecordBatch:
+        def out(e: np.ndarray) -> pa.RecordBatch:
             # who meets whom is asked again within clusters, so a forest of the edges is enough here
-            e = np.concatenate(parts)
             a, b = forest(e[:, 0], e[:, 1]) if len(e) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            held = [np.concatenate((h, batch.column(c).to_numpy())) for h, c in zip(held, ("x", "id", "fp"), strict=True)]
-            if len(held[0]) < 50_000:
+            parts.append([batch.column(c).to_numpy() for c in columns])
+            rows += batch.num_rows
+            if rows < max(50_000, len(held[0]) // 4):
                 continue
+            held, parts, rows = [np.concatenate(c) for c in zip(held, *parts, strict=True)], [], 0
             last = int(np.searchsorted(held[0], held[0][-1]))
             if last:
                 yield out(edges(*(h[:last] for h in held)))
                 held = [h[last:] for h in held]
-            else:  # one shingle fills the rows: its first document stands for it from here on
-                yield out([np.stack((np.full(len(held[1]), held[1][0]), held[1]), 1)])
-                held = [h[: node + 1] for h in held]
+        held = [np.concatenate(c) for c in zip(held, *parts, strict=True)]
         if len(held[0]):
             yield out(edges(*held))
 
@@ -235,7 +275,7 @@ def _verified(threshold: float):
 
 def similar(rows: DataFrame, known: DataFrame, space: Workspace, threshold: float = THRESHOLD, budget: int = BUDGET, node: int = NODE, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(v, label): components of rows (id, text), all with different sets, linked at the threshold. known: their marks."""
-    entries = known.select("id", "fp", "prefix").mapInArrow(_entries, "x long, id long, fp long")
+    entries = known.select("id", "fp", "fp2", "prefix").mapInArrow(_entries, "x long, id long, fp long, fp2 long")
     met = space.save(entries.repartition("x").sortWithinPartitions("x").mapInArrow(_met(budget, node), "a long, b long").distinct(), "met")
     clusters = space.save(components(met, space).select(F.col("v").alias("id"), F.col("label").alias("cluster")), "clusters")
     sized = clusters.join(known.select("id", "n"), "id").groupBy("cluster").agg(F.ceil(F.sum("n") / block_shingles).alias("blocks"))
