@@ -153,13 +153,18 @@ def rota_windows(spark, sf_dir):
 @query(f"""WITH {_RULES} SELECT DISTINCT a.rule_id AS a, b.rule_id AS b FROM worked a JOIN worked b ON a.practitioner_id = b.practitioner_id AND a.day = b.day AND a.rule_id < b.rule_id
 WHERE a.from_minute < b.to_minute AND b.from_minute < a.to_minute""")
 def rota_clashes(spark, sf_dir):
-    """Pairs of a practitioner's rules that are ever in force together; they meet by practitioner and weekday."""
+    """Pairs of a practitioner's rules that are ever in force together. Rules that differ in their id only are one class; classes meet by practitioner
+    and weekday, and what holds for two classes holds for all their rules."""
     r = _rules(spark, sf_dir)
-    pick = lambda p: r.select("practitioner_id", "weekday", *[F.col(c).alias(f"{p}_{c}") for c in r.columns if c not in ("practitioner_id", "weekday")])
-    both = pick("a").join(pick("b"), ["practitioner_id", "weekday"]).where("a_rule_id < b_rule_id AND a_from_minute < b_to_minute AND b_from_minute < a_to_minute")
-    ends = F.least(F.col("a_valid_to"), F.col("b_valid_to"))
-    meet = ever_together(F.col("weekday"), F.col("a_every_weeks"), F.col("a_valid_from"), F.col("b_every_weeks"), F.col("b_valid_from"), ends)
-    return both.where(meet).select(F.col("a_rule_id").alias("a"), F.col("b_rule_id").alias("b"))
+    rule = [c for c in r.columns if c != "rule_id"]
+    classes = r.select(*rule).distinct()
+    pick = lambda p: classes.select("practitioner_id", "weekday", F.struct(*rule).alias(p))
+    both = pick("a").join(pick("b"), ["practitioner_id", "weekday"]).where("a <= b AND a.from_minute < b.to_minute AND b.from_minute < a.to_minute")
+    ends = F.least("a.valid_to", "b.valid_to")
+    meet = both.where(ever_together(F.col("weekday"), F.col("a.every_weeks"), F.col("a.valid_from"), F.col("b.every_weeks"), F.col("b.valid_from"), ends)).select("a", "b", (F.col("a") == F.col("b")).alias("same"))
+    member = lambda p: r.select(F.struct(*rule).alias(p), F.col("rule_id").alias(f"{p}_id"))
+    found = meet.join(member("a"), "a").join(member("b"), "b").where("a_id < b_id OR (a_id > b_id AND NOT same)")
+    return found.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
 
 @query(sql("appts", f"""SELECT appointment_id, quiet AS held, CASE WHEN NOT quiet THEN due WHEN forward <= starts_us - 3600000000 THEN forward ELSE back END AS due_us,
