@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ GSM_TWICE = "^{}\\[~]|€"
 EARTH_MILES = 3958.8
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value worked out once for a row however often `then` uses it; else each use repeats the whole expression."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def local_day(instant: Column) -> Column:
     """The UK date of an instant."""
     return F.to_date(F.from_utc_timestamp(instant, ZONE))

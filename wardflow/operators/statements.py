@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardflow.functions.scalars import once
 from wardflow.operators.figures import ONES, TEENS, UNITS
 from wardflow.operators.repeats import multiset_within
 from wardflow.operators.sentence_spans import TERMS
@@ -29,15 +30,15 @@ SIGNS = {"over": ">", "more_than": ">", "greater_than": ">", "longer_than": ">",
 _PAIRED = [w.split("_") for w in SIGNS if "_" in w]
 
 
-def _tokens(text: Column) -> tuple[Column, Column]:
-    """The tokens of a text, and one letter for each: N a number, U a unit, a sign, or x."""
+def _tokens(text: Column) -> Column:
+    """Struct (tokens, letters): the tokens of a text, and one letter for each: N a number, U a unit, a sign, or x."""
     t = F.lower(text)
     for first, second in _PAIRED:
         t = F.regexp_replace(t, rf"\b{first}\s+{second}\b", f"{first}_{second}")
     tokens = F.regexp_extract_all(t, F.lit(r"(\d+(?:\.\d+)?|[a-z_]+|[^\sa-z0-9_])"), F.lit(1))
     table_ = F.create_map(*[F.lit(x) for w, sign in ({w: "N" for w in FEW} | {w: "U" for w in UNITS} | SIGNS).items() for x in (w, sign)])
     letter = lambda w: F.coalesce(F.element_at(table_, w), F.when(w.rlike(r"^\d"), "N").otherwise("x"))
-    return tokens, F.array_join(F.transform(tokens, letter), "")
+    return once(tokens, lambda found: F.struct(found.alias("tokens"), F.array_join(F.transform(found, letter), "").alias("letters")))
 
 
 def _length(tokens: Column, at: Column, unit_at: Column) -> Column:
@@ -55,7 +56,10 @@ def _span(low: Column, high: Column) -> Column:
 def band(text: Column) -> Column:
     """Struct (low, high) of days of a printed band: '0-3 months', 'over 12 months', '12 months +', 'up to 6 weeks'. high is
     null for an open one; null for what is no band."""
-    tokens, letters = _tokens(F.regexp_replace(F.trim(text), r"\.$", ""))
+    return once(_tokens(F.regexp_replace(F.trim(text), r"\.$", "")), lambda read: _printed(read["tokens"], read["letters"]))
+
+
+def _printed(tokens: Column, letters: Column) -> Column:
     at = lambda i, u: _length(tokens, F.lit(i), F.lit(u))
     none = F.lit(None).cast("double")
     return (
@@ -68,7 +72,10 @@ def band(text: Column) -> Column:
 
 def quoted_duration(text: Column) -> Column:
     """Struct (low, high) of the one duration that a quoted expectation states; null for none, or for more than one."""
-    tokens, letters = _tokens(text)
+    return once(_tokens(text), lambda read: _quoted(read["tokens"], read["letters"]))
+
+
+def _quoted(tokens: Column, letters: Column) -> Column:
     form = "N(?:-N)?U"
     before = F.regexp_extract(letters, f"^(.*?){form}", 1)
     i = F.length(before)
@@ -82,10 +89,12 @@ def quoted_duration(text: Column) -> Column:
 
 def band_containing(duration: Column, options: list[str]) -> Column:
     """The one option whose band holds the whole duration; null where none or more than one does."""
-    bands = F.array(*[F.struct(F.lit(o).alias("option"), band(F.lit(o)).alias("b")) for o in options])
-    top = lambda x: F.coalesce(x["high"], F.lit(float("inf")))
-    hits = F.filter(bands, lambda x: (duration["low"] >= x["b"]["low"]) & (top(duration) <= top(x["b"])))
-    return F.when(F.size(hits) == 1, hits[0]["option"])
+    # the bands are the same for every row: they are read once, here
+    read = SparkSession.active().range(1).select(*[band(F.lit(o)).alias(f"b{n}") for n, o in enumerate(options)]).first()
+    top = lambda high: F.coalesce(high, F.lit(float("inf")))
+    holds = [(o, (duration["low"] >= b["low"]) & (top(duration["high"]) <= (float("inf") if b["high"] is None else b["high"]))) for o, b in zip(options, read, strict=True) if b]
+    hits = F.array_compact(F.array(*[F.when(test, F.lit(o)) for o, test in holds])) if holds else F.array().cast("array<string>")
+    return once(hits, lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0))))
 
 
 _OPTIONS = ("0-3 MONTHS", "4 – 6 months", "Over 12 months", "up to 6 weeks", "6 wks", "12 months +", "two to four weeks", "3-1 days", "Less than a year.", "> 2 yrs", "soon", "within 10 days or more", "1.5-2 years", None)
