@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 COMMON = 4
 MOST_COMMON = 1_000_000
 #: Words of 64 bits of a bitmap, by the size of its set.
-WIDTHS = ((64, 2), (200, 4), (500, 8))
-WIDEST = 16
+WIDTHS = ((64, 2), (200, 4), (500, 8), (1500, 16))
+WIDEST = 32
 #: Ids up to which a table of them is broadcast.
 NARROW = 2_000_000
 
