@@ -65,3 +65,29 @@ def test_all_pairs_of_generated_texts(spark, tmp_path):
     assert got == want and want
     apart = [(x, y) for (a, x), (b, y) in itertools.combinations(facts.items(), 2) if a[0] == b[0] and len(set(x.content) & set(y.content)) >= 0.8 * min(len(x.content), len(y.content)) and not finding(x, y)]
     assert len(apart) > 20
+
+
+def _generated(spark):
+    rng = random.Random(8)
+    words = ["neck", "pain", "left", "not", "and", "flexion", "walking", "50%", "06/05/2026", "now", "mild", "stairs", "lifting", "rest,", "aching", "shoulder"]
+    rows = [(d, p, " ".join(rng.choices(words, k=rng.randint(5, 9)))) for d in (*range(4), None) for p in range(10 if d == 3 else 60)]
+    return spark.createDataFrame([*rows, *((d, p + 60, x) for d, p, x in rows if p % 7 == 0)], "doc long, place long, sentence string")
+
+
+def test_long_keys_meet_in_groups_of_words_and_lose_nothing(spark, tmp_path):
+    df = _generated(spark)
+    found = [sorted(map(tuple, repeats.repeated_sentences_of(df, "doc", "place", at=f"file://{tmp_path}/{whole}", whole=whole).collect())) for whole in (1000, 20)]
+    assert found[0] == found[1] and len(found[0]) > 40 and {d for d, _, _ in found[0]} == {0, 1, 2, 3}
+
+
+def test_words_are_not_shuffled(spark, tmp_path):
+    """What is shuffled are digests, bitmaps and what passes the sieve, however many words the sentences have."""
+    out = repeats.repeated_sentences_of(_generated(spark), "doc", "place", at=f"file://{tmp_path}/facts")
+    assert "explode(content" not in out._jdf.queryExecution().toString()
+    sieved = repeats._candidates(_classes(spark, [("a b c d e f g h i j", 0), ("a b c d e f g h i k", 1), ("p q r s t u v w x y z", 2)]), "doc", 0.8, 1500)
+    assert [tuple(r) for r in sieved.collect()] == [(1, 0, 1)]
+
+
+def _classes(spark, rows):
+    df = spark.createDataFrame([(1, n, x.split()) for x, n in rows], "doc long, first long, content array<string>")
+    return df.withColumns({"size": repeats.F.size("content"), "s0": repeats._signature(0), "s1": repeats._signature(1)})

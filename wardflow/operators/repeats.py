@@ -3,7 +3,8 @@
 Two sentences repeat if the smaller one's content words are in the other to a share, the figures of one other than dates are all among the
 other's, dates and times that both give have one in common, neither denies what the other asserts, and words of contrast of one kind don't clash.
 What a sentence states is worked out once, as columns, and saved; sentences with equal facts are one class, known by a digest, so a line repeated a thousand
-times is one row. Classes of one key meet on a word that must be shared: the smaller one's rarest.
+times is one row. Classes of one key meet with a bitmap of their words each, and only pairs whose bitmaps allow it are compared; in a key of very many sentences they meet on the
+groups of their words.
 
 Defined cases: null sentences state nothing and repeat nothing; sentences of less than five words or three content words are left out.
 """
@@ -77,6 +78,8 @@ def sentence_facts(rows: DataFrame) -> DataFrame:
 
 
 FACTS = ("content", "figures", "times", "negated", "denied", "marks")
+#: Rows up to which a table of keys is broadcast, when counted.
+FEW = 500_000
 
 
 def multiset_within(a: Column, b: Column) -> Column:
@@ -100,28 +103,61 @@ def same_finding(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return out
 
 
-def repeated_sentences_of(rows: DataFrame, key: str, order: str, share: float = 0.8, at: str | None = None) -> DataFrame:
+#: Sentences of a key up to which they meet each other at once; those of a longer key meet in groups of words, one group for each GROUP sentences.
+WHOLE = 1500
+GROUP = 100
+
+
+def _signature(half: int) -> Column:
+    """One of the two halves of a bitmap that has a bit for each content word."""
+    return F.expr(f"aggregate(content, 0L, (a, x) -> a | if((xxhash64(x) >> 6) & 1 = {half}, shiftleft(1L, cast(xxhash64(x) & 63 AS INT)), 0L))")
+
+
+def _candidates(classes: DataFrame, key: str, share: float, whole: int) -> DataFrame:
+    """(key, a, b): classes of which the smaller one, a, may have its words in b. A word that b lacks accounts for each bit that b's bitmap lacks, so no pair is lost, and unlike
+    pairs are dropped where they meet."""
+    narrow = classes.select(key, "first", "size", "s0", "s1")
+    sides = lambda x, y, *on: x.toDF(*on, "a", "na", "a0", "a1").join(y.toDF(*on, "b", "nb", "b0", "b1"), list(on))
+    lacking = F.expr(f"bit_count(a0 & ~b0) + bit_count(a1 & ~b1) <= na - na * {share}D + 1e-6D")
+    kept = lambda met: met.where(F.expr("a <> b AND (na < nb OR na = nb AND a < b)") & lacking).select(key, "a", "b")
+    long = classes.groupBy(key).agg(F.count("*").alias("sentences")).where(F.col("sentences") > whole)
+    if not long.limit(1).count():
+        return kept(sides(narrow, narrow, key)).distinct()
+    short = narrow.join(long, key, "left_anti")
+    grouped = classes.join(long, key).withColumn("groups", F.greatest(F.lit(2), F.floor(F.col("sentences") / GROUP)))
+    # long words are rare more often than not; the order decides the cost only
+    probes = F.expr(f"slice(array_sort(transform(content, x -> struct(-length(x) AS l, x AS w))), 1, cast(size - ceil(size * {share}D - 1e-9D) + 1 AS INT)).w")
+    dealt = lambda words: grouped.withColumn("_w", words).select(key, F.explode(F.expr("array_distinct(transform(_w, x -> pmod(xxhash64(x), groups)))")).alias("g"), "first", "size", "s0", "s1")
+    return kept(sides(short, short, key)).unionByName(kept(sides(dealt(probes), dealt(F.col("content")), key, "g"))).distinct()
+
+
+def repeated_sentences_of(rows: DataFrame, key: str, order: str, share: float = 0.8, at: str | None = None, whole: int = WHOLE) -> DataFrame:
     """(key, order, twin): sentences of rows (key, order, sentence) that say what an earlier one of their key says, with the earliest such one. at: a folder to save the facts in, so
-    that they are worked out once."""
+    that they are worked out once. Only digests and bitmaps of all sentences are shuffled; facts are fetched for the pairs that pass the sieve."""
+    spark, same = rows.sparkSession, [key, "d1", "d2"]
+
+    def saved(df: DataFrame, name: str) -> DataFrame:
+        if not at:
+            return df
+        df.write.parquet(f"{at}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{at}/{name}")
+
+    few = lambda df: F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
     digest = [F.xxhash64(*FACTS).alias("d1"), F.xxhash64(*reversed(FACTS), F.lit(7)).alias("d2")]
-    facts = sentence_facts(rows).select(key, order, *FACTS, *digest)
-    if at:
-        facts.write.parquet(at)
-        facts = rows.sparkSession.read.schema(facts.schema).parquet(at)
-    same = [key, "d1", "d2"]
-    classes = facts.groupBy(*same).agg(F.min(order).alias("first"), F.size(F.first("content")).alias("size"), *[F.first(f).alias(f) for f in FACTS])
-    word = classes.select(key, "first", "size", F.explode("content").alias("w"))
-    rare = word.groupBy(key, "w").agg(F.count("*").alias("df"))
-    probes = word.join(rare, [key, "w"]).groupBy(key, "first", "size").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
-    probes = probes.select(key, F.col("first").alias("a"), F.col("size").alias("na"), F.explode(F.slice("o", F.lit(1), (F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1).cast("int"))).alias("p")).select(key, "a", "na", F.col("p.w").alias("w"))
-    met = probes.join(word.select(key, F.col("first").alias("b"), F.col("size").alias("nb"), "w"), [key, "w"]).where("a <> b AND na <= nb").select(key, "a", "b").distinct()
-    of = lambda p: classes.select(key, F.col("first").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in FACTS])
+    facts = saved(sentence_facts(rows.where(F.col(key).isNotNull())).select(key, order, *FACTS, *digest, F.size("content").alias("size"), _signature(0).alias("s0"), _signature(1).alias("s1")), "facts")
+    twice = few(saved(facts.groupBy(*same).agg(F.min(order).alias("_least"), F.count("*").alias("n")).where("n > 1").drop("n"), "twice"))
+    known = facts.join(twice, same, "left").withColumn("first", F.coalesce("_least", order))
+    classes = known.where(F.col("first") == F.col(order))
+    met = saved(_candidates(classes, key, share, whole), "met")
+    ids = few(saved(met.select(key, F.explode(F.array("a", "b")).alias("first")).distinct(), "ids"))
+    some = classes.join(ids, [key, "first"], "left_semi")
+    of = lambda p: some.select(key, F.col("first").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in FACTS])
     side = lambda p: {c: F.col(f"{p}_{c}") for c in FACTS}
     shared = F.size(F.array_intersect("a_content", "b_content")) >= F.size("a_content") * share - 1e-9
     found = met.join(of("a"), [key, "a"]).join(of("b"), [key, "b"]).where(shared & same_finding(side("a"), side("b"))).select(key, "a", "b")
-    least = found.unionByName(found.select(key, F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(key, F.col("a").alias("first")).agg(F.min("b").alias("near"))
-    twin = classes.select(*same, "first").join(least, [key, "first"], "left").select(*same, F.least("first", F.coalesce("near", "first")).alias("twin"))
-    return facts.select(*same, order).join(twin, same).where(F.col("twin") < F.col(order)).select(key, order, "twin")
+    least = few(saved(found.unionByName(found.select(key, F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(key, F.col("a").alias("first")).agg(F.min("b").alias("near")), "near"))
+    out = known.select(key, order, "first").join(least, [key, "first"], "left").withColumn("twin", F.least("first", F.coalesce("near", "first")))
+    return out.where(F.col("twin") < F.col(order)).select(key, order, "twin")
 
 
 _IN = lambda x, words: f"list_contains([{', '.join(repr(w) for w in words)}], {x})"
