@@ -67,3 +67,18 @@ def test_near_pairs_of_generated_sets(spark):
     kept = [(r.id, set(r.w)) for r in df.collect()]
     want = sorted((a, b) for a, x in kept for b, y in kept if a < b and len(x & y) / len(x | y) >= 0.8 - 1e-9)
     assert sorted((r.a, r.b) for r in set_join.near_pairs(df).collect()) == want and want
+
+
+def test_table_function_runs_on_all_cores(spark, tmp_path):
+    """A table in one small file doesn't make one task of the table function."""
+    from wardflow.operators import paging
+
+    spark.range(400).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size").coalesce(1).write.parquet(f"file://{tmp_path}/part.parquet")
+    at = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(at)
+    spark.conf.set(at, "false")
+    try:
+        out = paging.sql_table_function(spark, f"file://{tmp_path}")
+        assert len({r.p for r in out.selectExpr("spark_partition_id() AS p").distinct().collect()}) > 1 and out.count() == 800
+    finally:
+        spark.conf.set(at, before)

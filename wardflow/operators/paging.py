@@ -217,7 +217,7 @@ def sql_functions(spark, sf_dir):
 
 @query("SELECT p_partkey, 'duration' AS kind, p_size || ':week' AS figure, 4 AS start FROM part UNION ALL SELECT p_partkey, 'number', CAST(p_partkey AS VARCHAR), 15 + length(CAST(p_size AS VARCHAR)) FROM part WHERE NOT regexp_matches(CAST(p_partkey AS VARCHAR), '^(19|20)[0-9]{2}$') UNION ALL SELECT p_partkey, 'year', CAST(p_partkey AS VARCHAR), 15 + length(CAST(p_size AS VARCHAR)) FROM part WHERE regexp_matches(CAST(p_partkey AS VARCHAR), '^(19|20)[0-9]{2}$')")
 def sql_table_function(spark, sf_dir):
-    """Figures of a text by a table function, with their places."""
+    """Figures of a text by a table function, with their places. A small file is one task of the scan, so rows are spread before the function reads them."""
     register_functions(spark)
-    p = table(spark, sf_dir, "part").select("p_partkey", F.format_string("for %d weeks, no %d", F.col("p_size").cast("long"), F.col("p_partkey")).alias("t"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.format_string("for %d weeks, no %d", F.col("p_size").cast("long"), F.col("p_partkey")).alias("t")).repartition("p_partkey")
     return spark.sql("SELECT p_partkey, f.kind, f.figure, f.start FROM {p} p, LATERAL ward_figures(p.t) f", p=p)
