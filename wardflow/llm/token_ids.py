@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +27,14 @@ from wardflow.llm import simple8b
 from wardflow.llm._util import Workspace, pieces, text_bytes
 
 END_ID = 0
-FILE_TEXT = 6 << 20
+FILE_TEXT = 2 << 20
 #: Units whose ids a worker keeps, and the characters of the longest one; others are encoded anew in each file.
 CACHE_UNITS = 400_000
 CACHE_CHARS = 40
+#: Units that are encoded as one string, and such strings at once.
+JOINED = 128
+STRINGS = 64
+_ASCII_SPACE = " \t\n\v\f\r"
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -60,18 +65,48 @@ class Encoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.width = np.dtype("H" if self.tokenizer.get_vocab_size() <= 65_536 else "I")
+        # a character of a byte-level token stands for a byte
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = list(map(len, vocabulary))
+
+    def _encoded(self, strings: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def _joined(self, groups: list[list[str]], sizes: list[np.ndarray]) -> list[bytes]:
+        """The ids of each unit of the groups, of these sizes in bytes, whose units are encoded as one string each. The bytes that tokens stand for tell where a unit ends; a group in which
+        no token ends there is encoded unit by unit."""
+        out = []
+        for group, size, ids in zip(groups, sizes, self._encoded(["".join(g) for g in groups]), strict=True):
+            ids = np.array(ids, self.width)
+            ends = np.cumsum(self.bytes_of[ids])
+            want = np.cumsum(size)
+            cut = np.searchsorted(ends, want)
+            if len(group) > 1 and (not len(ends) or ends[-1] != want[-1] or (ends[cut] != want).any()):
+                out += [array(self.width.char, x).tobytes() for x in self._encoded(group)]
+                continue
+            raw, at = ids.tobytes(), [0, *((cut[:-1] + 1) * self.width.itemsize).tolist(), len(ids) * self.width.itemsize]
+            out += [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
+        return out
 
-    def _unit_ids(self, units: list[str]) -> list[bytes]:
-        """The ids of each unit, as bytes of the tokenizer's id width."""
-        known, code = self.known, self.width.char
+    def _unit_ids(self, units: list[str], sizes: np.ndarray) -> list[bytes]:
+        """The ids of each unit, as bytes of the tokenizer's id width; sizes: the units' bytes."""
+        known = self.known
         out = list(map(known.get, units))
         missing = [i for i, x in enumerate(out) if x is None]
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            for i, e in zip(part, self.tokenizer.encode_batch_fast([units[i] for i in part], add_special_tokens=False), strict=True):
-                out[i] = array(code, e.ids).tobytes()
+        # only a unit that begins with white space and doesn't end with it can stand between others
+        alone = [i for i in missing if units[i][0] not in _ASCII_SPACE or units[i][-1].isspace()]
+        if alone:
+            apart = set(alone)
+            missing = [i for i in missing if i not in apart]
+        groups = [missing[at : at + JOINED] for at in range(0, len(missing), JOINED)] + [[i] for i in alone]
+        for at in range(0, len(groups), STRINGS):
+            part = groups[at : at + STRINGS]
+            flat = [i for g in part for i in g]
+            for i, x in zip(flat, self._joined([[units[i] for i in g] for g in part], [sizes[g] for g in part]), strict=True):
+                out[i] = x
             if len(known) < CACHE_UNITS:
-                known.update((units[i], out[i]) for i in part if len(units[i]) <= CACHE_CHARS)
+                known.update((units[i], out[i]) for i in flat if len(units[i]) <= CACHE_CHARS)
         return out
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +119,7 @@ class Encoder:
         starts = np.flatnonzero(start)
         bounds = np.append(starts, len(raw)).astype(np.int64)
         units = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw))).dictionary_encode()
-        ids = self._unit_ids(units.dictionary.to_pylist())
+        ids = self._unit_ids(units.dictionary.to_numpy(zero_copy_only=False).tolist(), pc.binary_length(units.dictionary).to_numpy())
         ids.append(array(self.width.char, [END_ID]).tobytes())
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width.itemsize
         first = np.zeros(len(ids), np.int64)
