@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardflow import registry
-from wardflow.operators import cleaning, set_join, statements
+from wardflow.operators import cleaning, intervals, set_join, statements
 
 
 def plan(df):
@@ -82,3 +82,31 @@ def test_table_function_runs_on_all_cores(spark, tmp_path):
         assert len({r.p for r in out.selectExpr("spark_partition_id() AS p").distinct().collect()}) > 1 and out.count() == 800
     finally:
         spark.conf.set(at, before)
+
+
+def test_pairs_of_a_busy_slot_are_made_in_many_tasks(spark):
+    """One key with 40,000 intervals within an hour, which are not broadcast."""
+    at = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(at)
+    spark.conf.set(at, "-1")
+    try:
+        rows = spark.range(40_000).selectExpr("id", "1 AS k", "id * 75000 AS s", "id * 75000 + 1250000 AS e")
+        made = intervals.overlaps(rows, "k").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.set(at, before)
+    assert sum(r["count"] for r in made) == sum(min(16, 39_999 - i) for i in range(40_000))
+    assert len(made) > 1
+
+
+def test_overlaps_of_odd_intervals(spark):
+    """Equal starts, empty and reversed intervals, ids that come twice, nulls, long intervals and times before 1970: as the SQL's condition says."""
+    rng, rows = random.Random(4), []
+    for i in range(300):
+        s = rng.randrange(-60, 60)
+        rows.append((rng.choice((i, i, i, i - 1)), rng.choice((1, 1, 2)), s, s + rng.choice((-3, 0, 1, 2, 5, 30))))
+    rows += [rows[0], (None, 1, 0, 9), (900, None, 0, 9), (901, 1, None, 9), (902, 1, 0, None)]
+    full = [r for r in rows if None not in r]
+    want = sorted((k, a, b) for a, k, s, e in full for b, j, t, u in full if k == j and a < b and s < u and t < e)
+    df = spark.createDataFrame(rows, "id long, k long, s long, e long")
+    for block, blocks in ((2, 2), (256, 16)):
+        assert sorted(map(tuple, intervals.overlaps(df, "k", 10, block, blocks).collect())) == want
