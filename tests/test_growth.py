@@ -110,3 +110,19 @@ def test_overlaps_of_odd_intervals(spark):
     df = spark.createDataFrame(rows, "id long, k long, s long, e long")
     for block, blocks in ((2, 2), (256, 16)):
         assert sorted(map(tuple, intervals.overlaps(df, "k", 10, block, blocks).collect())) == want
+
+
+def test_intervals_are_shuffled_once(spark):
+    """Intervals and the starts that they run through read the same shuffle, to which each interval is sent once a slot."""
+    df = intervals.overlaps(spark.range(2_000).selectExpr("id", "id % 3 AS k", "id * 75000 AS s", "id * 75000 + 1250000 AS e"), "k", 10_000_000)
+    got = df.collect()
+    ran = [line for line in plan(df).split("== Initial Plan ==")[0].splitlines() if "Exchange hashpartitioning(k" in line]
+    assert len(got) == sum(min(5, (1_999 - i) // 3) for i in range(2_000))
+    assert sorted("ReusedExchange" in line for line in ran) == [False, True]
+
+
+def test_overlaps_with_more_busy_slots_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "BUSY_SLOTS", 1)
+    rows = spark.range(600).selectExpr("id", "id % 2 AS k", "id * 5 AS s", "id * 5 + 40 AS e")
+    got = sorted((r.a, r.b) for r in intervals.overlaps(rows, "k", 100, 2, 2).collect())
+    assert got == [(i, j) for i in range(600) for j in range(i + 2, min(i + 8, 600), 2)]
