@@ -1,9 +1,11 @@
 """Work that grows with the input: values read once a row, rules alike compared once, pairs of texts sieved before they leave a task."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +128,36 @@ def test_overlaps_with_more_busy_slots_than_are_broadcast(spark, monkeypatch):
     rows = spark.range(600).selectExpr("id", "id % 2 AS k", "id * 5 AS s", "id * 5 + 40 AS e")
     got = sorted((r.a, r.b) for r in intervals.overlaps(rows, "k", 100, 2, 2).collect())
     assert got == [(i, j) for i in range(600) for j in range(i + 2, min(i + 8, 600), 2)]
+
+
+def test_a_pair_leaves_few_of_the_words_that_it_shares():
+    """Near copies share nearly all words of their prefixes; each pair leaves the task of one or two of them, not of all."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(-(2**63), 2**63 - 1, 150)
+    sets = [np.unique(np.r_[base[rng.permutation(150)[:146]], rng.integers(-(2**63), 2**63 - 1, 4)]) for _ in range(60)]
+    rows = pa.RecordBatch.from_pydict({"id": pa.array(range(60), pa.int64()), "h": pa.array(sets, pa.list_(pa.int64()))})
+    none = SimpleNamespace(value=(np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    sent = pa.Table.from_batches(set_join._entries(none, 0.8)(iter([rows]))).sort_by([("x", "ascending"), ("n", "ascending")]).combine_chunks()
+    found = []
+    for x in sent["x"].unique():
+        found += [p for o in set_join._met(0.8)(iter(sent.filter(pc.equal(sent["x"], x)).to_batches())) for p in zip(o["a"].to_pylist(), o["b"].to_pylist())]
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9}
+    assert want <= set(found) and len(want) > 1500 and len(found) <= 2 * len(want)
+
+
+@pytest.mark.parametrize("narrow", [0, 2_000_000])
+def test_near_pairs_of_a_crowd_in_cells(spark, monkeypatch, narrow):
+    """A crowd of more sets than a cell holds, sets apart from it, and an id that comes with two sets: all pairs with their figures."""
+    monkeypatch.setattr(set_join, "CELL", 7)
+    monkeypatch.setattr(set_join, "NARROW", narrow)
+    rng, words = random.Random(8), [f"w{i}" for i in range(40)]
+    rows = [(i, sorted(set(words) - set(rng.sample(words, 3)) | {f"own{i}"})) for i in range(60)] + [(100 + i, [f"far{i}", "w1", "w2"]) for i in range(9)]
+    rows += [(3, sorted({*words, "twin"})), (200, ["single"]), (201, ["single", "b"])]
+    got = sorted(map(tuple, set_join.near_pairs(spark.createDataFrame(rows, "id long, w array<string>")).collect()))
+    want = []
+    for p, (i, x) in enumerate(rows):
+        for j, y in rows[p + 1 :]:
+            both = len(set(x) & set(y))
+            if i != j and both / (len(x) + len(y) - both) >= 0.8 - 1e-9:
+                want.append((min(i, j), max(i, j), both, both / (len(x) + len(y) - both)))
+    assert got == sorted(want) and len(want) > 1000
