@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 #: Sets that hold a word before it counts as common, and the most common words that are told apart by their number; the order decides the cost only.
 COMMON = 4
 MOST_COMMON = 1_000_000
-#: Words of 64 bits of a bitmap, by the size of its set.
-WIDTHS = ((64, 2), (200, 4), (500, 8), (1500, 16))
+#: Words of 64 bits of a bitmap, by the size of its set: so many that unlike sets differ in some four deviations more bits than alike ones may.
+WIDTHS = ((40, 1), (180, 2), (430, 4), (950, 8), (2000, 16))
 WIDEST = 32
 #: Ids up to which a table of them is broadcast.
 NARROW = 2_000_000
 #: Words before a word of a prefix that are sent with it, rows that are sieved at once, and pairs after which they leave.
-BEFORE = 4
+BEFORE = 2
 ROWS = 100_000
 PAIRS = 1_000_000
 #: Sets of a cell, and words of cells that are counted at once.
@@ -192,12 +192,18 @@ def _alike(threshold: float):
 
 
 def near_pairs(keyed: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Pairs (a, b, common, jaccard), a < b, of rows (id: long, w: distinct words) alike to the threshold. No pair is lost."""
+    """Pairs (a, b, common, jaccard), a < b, of rows (id: long, w: distinct words in order, without line breaks) alike to the threshold. Equal sets are
+    one class, named by its least id; they meet by their digests, so that sets aren't shuffled for it. No pair is lost."""
     from wardflow.streaming.jobs import work_folder
 
     spark = keyed.sparkSession
     save = lambda df, name: (df.write.parquet(at := work_folder(spark, name)), spark.read.schema(df.schema).parquet(at))[1]
-    keyed = save(keyed.where("id IS NOT NULL").select("id", "w"), "sets")
+    sets = keyed.where("id IS NOT NULL").select("id", "w", F.unhex(F.sha2(F.array_join("w", "\n"), 256)).alias("digest"), F.monotonically_increasing_id().alias("nth"))
+    sets = save(sets, "sets")
+    twins = sets.groupBy("digest").agg(F.min(F.struct("id", "nth")).alias("least"), F.count("*").alias("copies")).where("copies > 1").select("digest", "least")
+    few = twins.limit(NARROW + 1).count() <= NARROW
+    keyed = sets.join(F.broadcast(twins) if few else twins, "digest", "left").where("least IS NULL OR nth = least.nth").select("id", "w")
+    keyed = keyed if few else save(keyed, "classes")
     hashed = keyed.select("id", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     often = hashed.select(F.explode("h").alias("h")).groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(MOST_COMMON).toArrow()
     h, n = often["h"].to_numpy(), often["count"].to_numpy()
