@@ -197,7 +197,7 @@ def near_pairs(keyed: DataFrame, threshold: float = 0.8) -> DataFrame:
     from wardflow.streaming.jobs import work_folder
 
     spark = keyed.sparkSession
-    save = lambda df, name: (df.write.parquet(at := work_folder(spark, name)), spark.read.schema(df.schema).parquet(at))[1]
+    save = lambda df, name: (df.write.option("compression", "zstd").parquet(at := work_folder(spark, name)), spark.read.schema(df.schema).parquet(at))[1]
     sets = keyed.where("id IS NOT NULL").select("id", "w", F.unhex(F.sha2(F.array_join("w", "\n"), 256)).alias("digest"), F.monotonically_increasing_id().alias("nth"))
     sets = save(sets, "sets")
     twins = sets.groupBy("digest").agg(F.min(F.struct("id", "nth")).alias("least"), F.count("*").alias("copies")).where("copies > 1").select("digest", "least")
@@ -220,6 +220,6 @@ def near_pairs(keyed: DataFrame, threshold: float = 0.8) -> DataFrame:
         cells = F.broadcast(cells)
     of = lambda c: cells.select(F.col("id").alias(c), F.col("cell").alias(f"cell_{c}"))
     two = met.join(of("a"), "a").join(of("b"), "b").select(F.least("cell_a", "cell_b").alias("x"), F.greatest("cell_a", "cell_b").alias("y")).distinct()
-    sent = two.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("cell")).join(keyed.join(cells, "id"), "cell")
-    sent = sent.select("x", "y", (F.col("cell") == F.col("x")).alias("first"), "id", "w")
+    sent = save(two.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("cell")).join(cells, "cell").select("x", "y", (F.col("cell") == F.col("x")).alias("first"), "id"), "sent")
+    sent = keyed.join(cells.select("id"), "id", "left_semi").join(F.broadcast(sent) if sent.limit(NARROW // 4 + 1).count() <= NARROW // 4 else sent, "id")
     return sent.groupBy("x", "y").applyInArrow(_alike(threshold), "a long, b long, common long, jaccard double")
